@@ -6,8 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .keys import HOT_ROWS
-from .sequences import SLICE_ROWS, joined_texts
+from .sequences import HOT_TEXT_ROWS, TEXT_SLICE_ROWS, joined_texts
 
 
 def reached_steps(events: DataFrame, keys: Sequence[str], steps: Mapping[str, Column]) -> DataFrame:
@@ -24,8 +23,8 @@ def session_paths(
     label: str,
     goal: Column,
     separator: str = " → ",
-    hot_rows: int = HOT_ROWS,
-    slice_rows: int = SLICE_ROWS,
+    hot_rows: int = HOT_TEXT_ROWS,
+    slice_rows: int = TEXT_SLICE_ROWS,
 ) -> DataFrame:
     """Per session its labels in order, the number of steps, and whether it met the goal."""
     return joined_texts(

@@ -9,21 +9,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .staging import stage
 
 ONE_TASK_ROWS = 500_000
+ROWS_PER_PARTITION = 5_000_000
 _SLOT_BITS = 33
 
 
-def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_number") -> DataFrame:
+def number_rows(
+    df: DataFrame, order: Sequence[Column], name: str = "row_number", rows: int | None = None
+) -> DataFrame:
     """Exact 1-based row number in a total order (end the order with a unique key).
 
     Range partitions are sorted on their own; the number of a row is its place in
     its partition plus the rows of all earlier partitions. The partitioned rows
     are staged, as the range limits are sampled and both steps must see the same
-    ones. Only one count per partition meets in a single task.
+    ones. Only one count per partition meets in a single task. Where the number of
+    `rows` is known, it sets the number of partitions for large tables.
     """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = (rows or 0) // ROWS_PER_PARTITION
+    ranged = df.repartitionByRange(wanted, *order) if wanted > parts else df.repartitionByRange(*order)
     slotted = stage(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id()),
+        ranged.sortWithinPartitions(*order).withColumn("_slot", F.monotonically_increasing_id()),
         "numbered",
     ).withColumn("_part", F.shiftright("_slot", _SLOT_BITS))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,6 +73,18 @@ def add_ntiles(
         if rows <= one_task_rows:
             result = result.withColumn(name, F.ntile(buckets).over(Window.orderBy(*order)))
         else:
-            numbered = number_rows(result, order, "_number")
+            numbered = number_rows(result, order, "_number", rows)
             result = numbered.withColumn(name, bucket_of(F.col("_number"), rows, buckets)).drop("_number")
     return result
+
+
+def top_ranks(df: DataFrame, value: str, top_n: int, name: str) -> DataFrame:
+    """Rows with RANK() OVER (ORDER BY value DESC) <= top_n, all ties included.
+
+    The ranks that can occur come from the top n values; rows find theirs by a
+    join to those few, so that ties never meet in one task.
+    """
+    best = df.select(value).orderBy(F.desc(value)).limit(top_n)
+    placed = best.withColumn(name, F.row_number().over(Window.orderBy(F.desc(value))))
+    ranks = placed.groupBy(F.col(value).alias("_value")).agg(F.min(name).alias(name))
+    return df.join(F.broadcast(ranks), F.col(value).eqNullSafe(F.col("_value"))).drop("_value")

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .staging import stage
+
 BROADCAST_ROWS = 1_000_000
 
 
@@ -52,17 +54,20 @@ def rollup_by_entity(
     """One row per entity with measures that cannot be merged (distinct counts).
 
     Facts without a dimension row need their distinct counts over all of them, so
-    they are aggregated apart, and only where a check finds any.
+    they are aggregated apart, and only where there are any. The aggregate is
+    staged, so that this check does not read the facts again.
     """
     aggregates = [m.alias(n) for n, m in measures.items()]
     details = dimension.select(key, *[a for a in attributes if a != key])
     columns = [*[F.col(a) for a in attributes], *[F.col(n) for n in measures]]
-    matched = facts.groupBy(key).agg(*aggregates).join(details, key).select(*columns)
+    per_key = stage(facts.groupBy(key).agg(*aggregates), "per-key")
+    matched = per_key.join(details, key).select(*columns)
 
-    lost = facts.select(key).distinct().join(dimension.select(key), key, "left_anti").withColumnRenamed(key, "_lost")
+    lost = per_key.select(key).join(dimension.select(key), key, "left_anti").withColumnRenamed(key, "_lost")
     found = lost.limit(broadcast_rows + 1).count()
     if found == 0:
         return matched
+    lost = stage(lost, "lost-keys")
     lost = F.broadcast(lost) if found <= broadcast_rows else lost
     orphans = facts.join(lost, facts[key].eqNullSafe(lost["_lost"]), "left_semi").agg(*aggregates)
     types = dict((f.name, f.dataType) for f in details.schema)

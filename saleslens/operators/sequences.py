@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .keys import HOT_ROWS, hot_keys, split_hot
 from .ranking import number_rows
 
-SLICE_ROWS = 1_000_000
+SLICE_ROWS = 5_000_000
+HOT_TEXT_ROWS = 1_000_000
+TEXT_SLICE_ROWS = 500_000
 
 
 def with_neighbours(
@@ -86,13 +88,13 @@ def joined_texts(
     separator: str,
     name: str,
     measures: Mapping[str, tuple[Column, Column]],
-    hot_rows: int = HOT_ROWS,
-    slice_rows: int = SLICE_ROWS,
+    hot_rows: int = HOT_TEXT_ROWS,
+    slice_rows: int = TEXT_SLICE_ROWS,
 ) -> DataFrame:
     """One row per key with the texts of its rows joined in order, plus measures.
 
     A measure is a pair: the aggregate over rows, and the aggregate that merges
-    partial values of the same name.
+    partial values of the same name. Texts are whole, however long.
     """
     per_rows = [partial.alias(n) for n, (partial, _) in measures.items()]
     hot = hot_keys(df, keys, hot_rows)

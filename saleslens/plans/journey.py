@@ -16,11 +16,10 @@ from ..functions.labels import above, at_least, first_match, position
 from ..functions.numbers import ROUNDING_TYPE, percent, ratio, round_to, rounded_mean
 from ..operators.baskets import LARGE_BASKET, SEED_ITEMS, top_pairs
 from ..operators.journeys import reached_steps, session_paths
-from ..operators.keys import HOT_ROWS
 from ..operators.ranking import ONE_TASK_ROWS, add_ntiles
 from ..operators.rows import metrics_to_rows, share_of_total
 from ..operators.scores import rfm_segment, score_customers
-from ..operators.sequences import SLICE_ROWS
+from ..operators.sequences import HOT_TEXT_ROWS, TEXT_SLICE_ROWS
 
 Tables = dict[str, DataFrame]
 
@@ -74,7 +73,7 @@ def _page_label() -> Column:
 
 
 def journey_paths(
-    tables: Tables, min_frequency: int = 1, hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS
+    tables: Tables, min_frequency: int = 1, hot_rows: int = HOT_TEXT_ROWS, slice_rows: int = TEXT_SLICE_ROWS
 ) -> DataFrame:
     """How often each ordered sequence of pages occurs and converts."""
     events = tables["page_events"].select(

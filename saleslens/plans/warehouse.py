@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.dates import as_date, months_between_boundaries, years_between_boundaries
 from ..functions.labels import first_match
 from ..functions.numbers import ROUNDING_TYPE, percent, ratio, round_to, whole_mean, whole_ratio
+from ..operators.ranking import top_ranks
 from ..operators.rollup import rollup_by_attributes, rollup_by_entity, sums
 from ..operators.rows import metrics_to_rows
 
@@ -194,13 +195,8 @@ def top5_products(tables: Tables, top_n: int = 5) -> DataFrame:
 
 def top5_products_ranked(tables: Tables, top_n: int = 5) -> DataFrame:
     """Products up to rank n; products with equal revenue share a rank."""
-    rank = F.rank().over(Window.orderBy(F.desc("total_revenue")))
-    return (
-        _revenue_by_product_name(tables)
-        .withColumn("rank_products", rank)
-        .filter(F.col("rank_products") <= top_n)
-        .orderBy("rank_products", "product_name")
-    )
+    ranked = top_ranks(_revenue_by_product_name(tables), "total_revenue", top_n, "rank_products")
+    return ranked.orderBy("rank_products", "product_name")
 
 
 def bottom5_products(tables: Tables, top_n: int = 5) -> DataFrame:

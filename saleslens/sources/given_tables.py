@@ -6,8 +6,12 @@ way: a projection, so the work of a job grows with the given tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .schemas import table_schema
+
 
 SHAPES: dict[str, str] = {
     "dim_products": """
@@ -167,7 +171,20 @@ SHAPES: dict[str, str] = {
     """,
 }
 
-BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+# Declared, so that reading a table needs no job to look into its files.
+BASE_TABLES = {
+    "region": "r_regionkey integer, r_name string",
+    "nation": "n_nationkey integer, n_name string, n_regionkey integer",
+    "customer": "c_custkey long, c_name string, c_nationkey integer, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey integer, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size integer, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber integer, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
 
 # Which shape stands for which table of a group of jobs.
 WAREHOUSE = {name: name for name in ("dim_products", "dim_customers", "fact_sales")}
@@ -189,14 +206,25 @@ CATALOG = {"crm_prd_info": "crm_prd_info", "erp_px_cat": "erp_px_cat"}
 
 def shaped(spark: SparkSession, folder: str, shape: str) -> DataFrame:
     """One shape over the Parquet tables of a folder."""
-    words = set(SHAPES[shape].split())
-    base = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in BASE_TABLES if name in words}
-    text = SHAPES[shape]
-    for name in base:
-        for lead in ("from", "join"):
-            text = text.replace(f"{lead} {name}\n", f"{lead} {{{name}}}\n").replace(f"{lead} {name} ", f"{lead} {{{name}}} ")
+    text, base = SHAPES[shape], {}
+    for name, columns in BASE_TABLES.items():
+        marked = re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", text)
+        if marked != text:
+            text, base[name] = marked, spark.read.schema(table_schema(columns)).parquet(f"{folder}/{name}.parquet")
     return spark.sql(text, **base)
 
 
-def tables_for(spark: SparkSession, folder: str, group: dict[str, str]) -> dict[str, DataFrame]:
-    return {name: shaped(spark, folder, shape) for name, shape in group.items()}
+class GivenTables(dict):
+    """The tables of a group of jobs, each built when a job asks for it."""
+
+    def __init__(self, spark: SparkSession, folder: str, group: dict[str, str]):
+        super().__init__()
+        self._make = lambda name: shaped(spark, folder, group[name])
+        self._names = list(group)
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self._make(name)
+        return self[name]
+
+    def items(self):
+        return [(name, self[name]) for name in self._names]
