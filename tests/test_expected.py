@@ -7,6 +7,8 @@ import pytest
 import __spark_entry__ as registered
 from compare import database, differences
 
+from conftest import plan_of
+
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no given tables")
 
@@ -23,6 +25,8 @@ def test_same_keys():
 @pytest.mark.parametrize("name", sorted(registered.queries()))
 def test_query(spark, connection, name):
     df = registered.queries()[name](spark, FOLDER)
+    plan = plan_of(df)
+    assert not any(word in plan for word in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "MapInPandas"))
     assert differences(df, connection, registered.oracle_sql()[name]) is None
 
 
