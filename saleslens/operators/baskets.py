@@ -8,7 +8,7 @@ from .keys import attach
 from .rollup import BROADCAST_ROWS
 from .staging import stage
 
-LARGE_BASKET = 2_000
+LARGE_BASKET = 500
 SEED_ITEMS = 200
 
 
@@ -30,8 +30,7 @@ def pair_counts(items: DataFrame, large_basket: int = LARGE_BASKET) -> DataFrame
     parts = F.ceil(F.col("_items") / large_basket).cast("int")
     some = large.select("basket", F.pmod(F.hash("item"), parts).alias("part"), "item")
     every = large.select("basket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "item")
-    pairs = _pairs(small, small, ["basket"]).unionByName(_pairs(some, every, ["basket", "part"]))
-    return pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("baskets"))
+    return _count(_pairs(small, small, ["basket"]).unionByName(_pairs(some, every, ["basket", "part"])))
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -39,6 +38,16 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, on).filter("item_a < item_b").select("item_a", "item_b")
 
 
+def _count(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("baskets"))
+
+
+def common_baskets(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Baskets that hold both items, for given pairs only: no other pair is built."""
+    with_a = pairs.select("item_a", "item_b").join(items.withColumnRenamed("item", "item_a"), "item_a")
+    return _count(with_a.join(items.withColumnRenamed("item", "item_b"), ["basket", "item_b"]))
+
+
 def top_pairs(
     lines: DataFrame,
     basket: str,
@@ -48,24 +57,66 @@ def top_pairs(
     seed_items: int = SEED_ITEMS,
     large_basket: int = LARGE_BASKET,
 ) -> tuple[DataFrame, DataFrame]:
-    """(pair counts that hold every pair of the top n, ties included; popularity).
+    """(counts of pairs, with every pair of the top n, ties included; popularity).
 
     A pair occurs in no more baskets than either of its items. The n-th best count
     among the pairs of the most popular items is a lower limit for the true n-th
     best, so items in fewer baskets than that can be left out before pairing.
     """
-    items = stage(distinct_items(lines, basket, item), "items")
+    size = F.count("*").over(Window.partitionBy("basket"))
+    items = stage(distinct_items(lines, basket, item).withColumn("size", size), "items")
     popularity = stage(items.groupBy("item").agg(F.count("*").alias("baskets")), "popularity")
-    known = popularity.join(known_items.select(F.col(item).alias("item")), "item", "left_semi")
-    known = stage(known, "known-items")
+    known = stage(popularity.join(known_items.select(F.col(item).alias("item")), "item", "left_semi"), "known-items")
 
     seeds = known.orderBy(F.desc("baskets"), "item").limit(seed_items).select("item")
-    best = pair_counts(items.join(F.broadcast(seeds), "item", "left_semi"), large_basket)
-    best = best.orderBy(F.desc("baskets")).limit(top_n)
+    seeded = items.join(F.broadcast(seeds), "item", "left_semi").select("basket", "item")
+    best = _count(_pairs(seeded, seeded, ["basket"])).orderBy(F.desc("baskets")).limit(top_n)
     found, least = best.agg(F.count("*"), F.min("baskets")).first()
-    kept = known.filter(F.col("baskets") >= (least if found == top_n else 1)).select("item")
+    least = least if found == top_n else 1
+
+    kept = known.filter(F.col("baskets") >= least).select("item")
     if kept.count() <= BROADCAST_ROWS:
         kept_items = items.join(F.broadcast(kept), "item", "left_semi")
     else:
         kept_items = attach(items, kept, "item")
-    return pair_counts(kept_items, large_basket), popularity
+    small = kept_items.filter(F.col("size") <= large_basket).select("basket", "item")
+    large = kept_items.filter(F.col("size") > large_basket).select("basket", "item")
+    counts = _count(_pairs(small, small, ["basket"]))
+    if not large.isEmpty():
+        counts = _add_large_baskets(counts, stage(large, "large-baskets"), least, large_basket)
+    return counts, popularity
+
+
+def _add_large_baskets(small: DataFrame, large: DataFrame, least: int, large_basket: int) -> DataFrame:
+    """Add the large baskets to the counts, as far as a pair can still reach `least`.
+
+    A pair from large baskets alone needs both items in at least `least` of them,
+    which one or a few huge baskets cannot offer: only pairs of such items are
+    built. All other pairs must come from small baskets with a count that can
+    reach `least`, and are looked up one by one.
+    """
+    spread = stage(large.groupBy("item").agg(F.count("*").alias("large")), "large-items")
+    often = spread.filter(F.col("large") >= least).select("item")
+    built = pair_counts(attach(large, often, "item"), large_basket)
+
+    def of(side: str) -> DataFrame:
+        return spread.select(F.col("item").alias(f"item_{side}"), F.col("large").alias(f"large_{side}"))
+
+    bound = F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
+    open_pairs = stage(
+        small.join(of("a"), "item_a", "left")
+        .join(of("b"), "item_b", "left")
+        .withColumn("_more", bound)
+        .filter(F.col("baskets") + F.col("_more") >= least),
+        "open-pairs",
+    )
+    lookup = open_pairs.filter((F.col("_more") > 0) & (F.col("_more") < least))
+    parts = [open_pairs.select("item_a", "item_b", "baskets"), built, common_baskets(lookup, large)]
+    return (
+        parts[0]
+        .unionByName(parts[1])
+        .unionByName(parts[2])
+        .groupBy("item_a", "item_b")
+        .agg(F.sum("baskets").alias("baskets"))
+        .filter(F.col("baskets") >= least)
+    )

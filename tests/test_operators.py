@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from saleslens.operators import staging
-from saleslens.operators.baskets import distinct_items, pair_counts, top_pairs
+from saleslens.operators.baskets import common_baskets, distinct_items, pair_counts, top_pairs
 from saleslens.operators.keys import attach, drop_repeated_keys, hot_keys, latest_per_key
 from saleslens.operators.ranking import add_ntiles, number_rows, top_ranks
 from saleslens.operators.rollup import rollup_by_attributes, rollup_by_entity, sums
@@ -175,21 +175,37 @@ def test_pair_counts(frame, large_basket):
     assert values(got) == sorted(((a, b, n) for (a, b), n in pairs_by_hand(baskets()).items()), key=repr)
 
 
-@pytest.mark.parametrize("seed_items", [2, 5, 200])
-@pytest.mark.parametrize("top_n", [1, 7, 1000])
-def test_top_pairs_hold_the_best(frame, seed_items, top_n):
+@pytest.mark.parametrize("large_basket", [500, 20, 4, 1])
+@pytest.mark.parametrize("seed_items,top_n", [(2, 1), (5, 1), (5, 7), (200, 7), (200, 30), (200, 1000)])
+def test_top_pairs_hold_the_best(frame, seed_items, top_n, large_basket):
     lines = frame(baskets(), "b int, i int")
     known = frame([(i,) for i in range(25)], "i int")
-    got, popularity = top_pairs(lines, "b", "i", known, top_n, seed_items)
+    got, popularity = top_pairs(lines, "b", "i", known, top_n, seed_items, large_basket)
     counts = {pair: n for pair, n in pairs_by_hand(baskets()).items() if max(pair) < 25}
     ranked = sorted(counts.items(), key=lambda e: (-e[1], e[0]))
     least = ranked[min(top_n, len(ranked)) - 1][1]
     found = {(r.item_a, r.item_b): r.baskets for r in got.collect()}
     assert all(found[pair] == n for pair, n in ranked if n >= least)
-    assert all(counts[pair] == n for pair, n in found.items())
+    assert all(counts[pair] == n for pair, n in found.items() if n >= least)
     assert popularity.filter("item = 3").first().baskets == len({b for b, i in baskets() if i == 3 and b is not None})
 
 
+def test_huge_basket_builds_no_pairs_of_its_own(frame):
+    """Its pairs occur once, the best pairs more often: they are only looked up."""
+    lines = [(b, i) for b in range(20) for i in (1, 2, 3)] + [(99, i) for i in range(1, 400)]
+    known = frame([(i,) for i in range(400)], "i int")
+    got, _ = top_pairs(frame(lines, "b int, i int"), "b", "i", known, top_n=3, large_basket=50)
+    assert values(got) == [(1, 2, 21), (1, 3, 21), (2, 3, 21)]
+
+
+def test_common_baskets(frame):
+    items = distinct_items(frame(baskets(), "b int, i int"), "b", "i")
+    pairs = frame([(1, 2), (3, 9), (28, 29)], "item_a int, item_b int")
+    by_hand = pairs_by_hand(baskets())
+    expected = [(a, b, by_hand[a, b]) for a, b in [(1, 2), (3, 9), (28, 29)] if by_hand[a, b]]
+    assert values(common_baskets(pairs, items), "item_a", "item_b", "baskets") == sorted(expected, key=repr)
+
+
 FACTS = [("p1", "o1", 10), ("p1", "o1", 5), ("p2", "o1", 1), ("lost1", "o9", 7), ("lost2", "o9", 8), (None, "o8", 1)]
 
 
