@@ -27,8 +27,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     limit = hot_rows
     if fraction < 1.0:
         seen, limit = seen.sample(fraction, seed=7), _SAMPLED_HOT_ROWS // 2
-    hot = stage(seen.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys), "hot-keys")
-    return None if hot.isEmpty() else hot
+    hot = seen.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+    return None if hot.isEmpty() else stage(hot, "hot-keys")
 
 
 def matches(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
