@@ -3,7 +3,7 @@
 from .spelling import big, dbl, pct, rounded, small, with_shapes
 
 AS_OF = "DATE '2001-08-01'"
-BY_PRODUCT = "fact_sales f LEFT JOIN dim_products p USING (product_key)"
+BY_PRODUCT = "fact_sales f LEFT JOIN dim_products p ON p.product_key = f.product_key"
 BY_CUSTOMER = "fact_sales f LEFT JOIN dim_customers c ON c.customer_key = f.customer_key"
 DATED = "order_date IS NOT NULL"
 REVENUE = big("sum(sales_amount)")
@@ -57,13 +57,13 @@ _CUSTOMERS = f"""
 
 _PRODUCTS = f"""
     sold AS (
-        SELECT product_key, product_name, category, subcategory, cost, max(order_date) AS last_sale_date,
+        SELECT p.product_key, product_name, category, subcategory, cost, max(order_date) AS last_sale_date,
             date_diff('month', min(order_date), max(order_date)) AS lifespan,
             count(DISTINCT order_number) AS total_orders, count(DISTINCT customer_key) AS total_customers,
             sum(sales_amount) AS total_sales, sum(quantity) AS total_quantity,
             sum(CAST(CAST(sales_amount AS DOUBLE) / nullif(quantity, 0) AS DECIMAL(30,8))) AS prices,
-            count(nullif(quantity, 0)) AS priced
-        FROM {BY_PRODUCT} WHERE f.{DATED} GROUP BY product_key, product_name, category, subcategory, cost
+            count(sales_amount / nullif(quantity, 0)) AS priced
+        FROM {BY_PRODUCT} WHERE f.{DATED} GROUP BY p.product_key, product_name, category, subcategory, cost
     ), report AS (
         SELECT product_key, product_name, category, subcategory, cost, last_sale_date,
             {small(f"date_diff('month', last_sale_date, {AS_OF})")} AS recency_in_months,
@@ -160,13 +160,13 @@ _BODIES = {
     "revenue_by_customer": CUSTOMER_REVENUE,
     "items_by_country": f"""
         SELECT c.country, {big('sum(f.quantity)')} AS total_sold_items FROM {BY_CUSTOMER} GROUP BY c.country""",
-    "top5_products": f"{NAMED_REVENUE} ORDER BY total_revenue DESC, product_name LIMIT 5",
+    "top5_products": f"{NAMED_REVENUE} ORDER BY total_revenue DESC NULLS LAST, product_name NULLS FIRST LIMIT 5",
     "top5_products_ranked": f"""
         WITH named AS ({NAMED_REVENUE})
-        SELECT *, {small('rank() OVER (ORDER BY total_revenue DESC)')} AS rank_products FROM named
+        SELECT *, {small('rank() OVER (ORDER BY total_revenue DESC NULLS LAST)')} AS rank_products FROM named
         QUALIFY rank_products <= 5""",
-    "bottom5_products": f"{NAMED_REVENUE} ORDER BY total_revenue, product_name LIMIT 5",
-    "top10_customers": f"{CUSTOMER_REVENUE} ORDER BY total_revenue DESC, c.customer_key LIMIT 10",
+    "bottom5_products": f"{NAMED_REVENUE} ORDER BY total_revenue NULLS FIRST, product_name NULLS FIRST LIMIT 5",
+    "top10_customers": f"{CUSTOMER_REVENUE} ORDER BY total_revenue DESC NULLS LAST, c.customer_key NULLS FIRST LIMIT 10",
     "bottom3_customers_orders": f"""
         SELECT c.customer_key, c.first_name, c.last_name, count(DISTINCT f.order_number) AS total_orders
         FROM {BY_CUSTOMER} GROUP BY ALL ORDER BY total_orders, c.customer_key NULLS FIRST LIMIT 3""",
@@ -190,7 +190,7 @@ _BODIES = {
             SELECT year(f.order_date) AS y, product_name, {REVENUE} AS sales
             FROM {BY_PRODUCT} WHERE f.{DATED} GROUP BY ALL
         ), compared AS (
-            SELECT *, {big('sum(sales) OVER (PARTITION BY product_name) // count(*) OVER (PARTITION BY product_name)')} AS mid,
+            SELECT *, {big('sum(sales) OVER (PARTITION BY product_name) // count(sales) OVER (PARTITION BY product_name)')} AS mid,
                 lag(sales) OVER (PARTITION BY product_name ORDER BY y) AS before
             FROM yearly
         )

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import as_date, days_between
-from ..functions.labels import above, position
+from ..functions.labels import above, first_match, position
 from ..functions.numbers import ROUNDING_TYPE, count_where, mean, percent, ratio, round_to, rounded_mean
 from ..operators.keys import HOT_ROWS, attach, latest_per_key
 from ..operators.ranking import ONE_TASK_ROWS, add_ntiles
@@ -217,7 +217,7 @@ def fin_geography(tables: Tables) -> DataFrame:
 
 
 def _day_part(hour: Column) -> Column:
-    return above(hour, [(18, "Evening"), (12, "Afternoon")], "Morning")
+    return first_match([(hour <= 12, "Morning"), (hour <= 18, "Afternoon")], "Evening")
 
 
 def _purchase_share() -> Column:
@@ -236,13 +236,14 @@ def fin_device_channel_fixed(tables: Tables) -> DataFrame:
     by = ["device_type"]
     hours = (
         _completed(tables)
-        .groupBy("device_type", F.hour("transaction_date").alias("peak_hour"))
+        .filter("transaction_date is not null")
+        .groupBy(F.col("device_type").alias("_device"), F.hour("transaction_date").alias("peak_hour"))
         .agg(F.count("*").alias("peak_hour_transactions"))
     )
-    busiest = latest_per_key(hours, by, [F.desc("peak_hour_transactions"), F.asc("peak_hour")])
+    busiest = latest_per_key(hours, ["_device"], [F.desc("peak_hour_transactions"), F.asc("peak_hour")])
     devices = _volume_by(tables, by, "avg_transaction_size", _purchase_share())
     return _by_volume(
-        devices.join(busiest.withColumnRenamed("device_type", "_device"), F.col("device_type").eqNullSafe(F.col("_device")))
+        devices.join(busiest, F.col("device_type").eqNullSafe(F.col("_device")), "left")
         .drop("_device")
         .withColumn("peak_usage_time", _day_part(F.col("peak_hour"))),
         by,
@@ -279,11 +280,12 @@ def fin_sequences(
     tables: Tables, min_occurrences: int = 2, hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Patterns of three transaction types in a row."""
-    types = ["previous_transaction_type", "transaction_type", "next_transaction_type"]
+    arrow = F.lit(" → ")
+    pattern = F.concat("previous_transaction_type", arrow, "transaction_type", arrow, "next_transaction_type")
     return (
         fin_sequence_rows(tables, hot_rows, slice_rows)
         .filter("previous_transaction_type is not null and next_transaction_type is not null")
-        .groupBy(F.array_join(F.array(*types), " → ").alias("transaction_sequence"))
+        .groupBy(pattern.alias("transaction_sequence"))
         .agg(
             F.count("*").alias("total_occurrences"),
             rounded_mean(F.col("amount")).alias("avg_transaction_amount"),

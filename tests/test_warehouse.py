@@ -215,3 +215,16 @@ def test_dimension_joins_see_one_row_per_key(star):
     """The facts are aggregated by their own key below the join."""
     plan = plan_of(warehouse.revenue_by_category(star))
     assert plan.index("Join") < plan.index("partial_sum(sales_amount")
+
+
+def test_scans_read_only_what_they_need(spark, star, tmp_path):
+    star["fact_sales"].write.parquet(str(tmp_path / "fact"))
+    tables = star | {"fact_sales": spark.read.schema(star["fact_sales"].schema).parquet(str(tmp_path / "fact"))}
+
+    def scan(df):
+        return next(line for line in plan_of(df).splitlines() if "FileScan" in line and "fact" in line)
+
+    monthly = scan(warehouse.sales_by_year_month(tables))
+    assert "IsNotNull(order_date)" in monthly
+    assert "ReadSchema: struct<customer_key:int,order_date:date,sales_amount:int,quantity:int>" in monthly
+    assert "ReadSchema: struct<product_key:int,sales_amount:int>" in scan(warehouse.revenue_by_category(tables))
