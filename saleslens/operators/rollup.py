@@ -49,19 +49,28 @@ def rollup_by_entity(
     dimension: DataFrame,
     attributes: Sequence[str],
     measures: Mapping[str, Column],
+    distinct: Mapping[str, str],
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """One row per entity with measures that cannot be merged (distinct counts).
+    """One row per entity with measures and distinct counts of fact columns.
 
-    Facts without a dimension row need their distinct counts over all of them, so
-    they are aggregated apart, and only where there are any. The aggregate is
-    staged, so that this check does not read the facts again.
+    Each distinct count has its own aggregate, which shuffles nothing but the key
+    and that column; the results are partitioned alike and joined without another
+    shuffle. Facts without a dimension row need their distinct counts over all of
+    them, so they are aggregated apart, and only where there are any. The
+    aggregate is staged, so that this check does not read the facts again.
     """
     aggregates = [m.alias(n) for n, m in measures.items()]
+    counts = {n: F.countDistinct(column).alias(n) for n, column in distinct.items()}
     details = dimension.select(key, *[a for a in attributes if a != key])
-    columns = [*[F.col(a) for a in attributes], *[F.col(n) for n in measures]]
-    per_key = stage(facts.groupBy(key).agg(*aggregates), "per-key")
-    matched = per_key.join(details, key).select(*columns)
+    names = [*measures, *distinct]
+
+    # A null key finds no partner here; it has no dimension row and is counted below.
+    per_key = facts.groupBy(key).agg(F.count("*").alias("_facts"), *aggregates)
+    for count in counts.values():
+        per_key = per_key.join(facts.groupBy(key).agg(count), key, "left")
+    per_key = stage(per_key.drop("_facts"), "per-key")
+    matched = per_key.join(details, key).select(*attributes, *names)
 
     lost = per_key.select(key).join(dimension.select(key), key, "left_anti").withColumnRenamed(key, "_lost")
     found = lost.limit(broadcast_rows + 1).count()
@@ -69,7 +78,7 @@ def rollup_by_entity(
         return matched
     lost = stage(lost, "lost-keys")
     lost = F.broadcast(lost) if found <= broadcast_rows else lost
-    orphans = facts.join(lost, facts[key].eqNullSafe(lost["_lost"]), "left_semi").agg(*aggregates)
+    orphans = facts.join(lost, facts[key].eqNullSafe(lost["_lost"]), "left_semi").agg(*aggregates, *counts.values())
     types = dict((f.name, f.dataType) for f in details.schema)
     nulls = [F.lit(None).cast(types[a]).alias(a) for a in attributes]
-    return matched.unionByName(orphans.select(*nulls, *measures))
+    return matched.unionByName(orphans.select(*nulls, *names))

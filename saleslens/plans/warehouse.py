@@ -214,7 +214,8 @@ def bottom3_customers_orders(tables: Tables, top_n: int = 3) -> DataFrame:
             "customer_key",
             tables["dim_customers"],
             CUSTOMER,
-            {"total_orders": F.countDistinct("order_number")},
+            measures={},
+            distinct={"total_orders": "order_number"},
         )
         .orderBy("total_orders", "customer_key")
         .limit(top_n)
@@ -378,13 +379,12 @@ def report_customers_fixed(tables: Tables, as_of: dt.date, view: str | None = No
         tables["dim_customers"],
         ["customer_key", "customer_number", "first_name", "last_name", "birthdate"],
         {
-            "total_orders": F.countDistinct("order_number"),
             "total_sales": F.sum("sales_amount"),
             "total_quantity": F.sum("quantity"),
-            "total_products": F.countDistinct("product_key"),
             "last_order_date": last,
             "lifespan": months_between_boundaries(first, last),
         },
+        {"total_orders": "order_number", "total_products": "product_key"},
     )
     age = F.col("age")
     bands = [(20, "Under 20"), (30, "20-29"), (40, "30-39"), (50, "40-49")]
@@ -434,12 +434,11 @@ def report_products(tables: Tables, as_of: dt.date, view: str | None = None) ->
         {
             "last_sale_date": last,
             "lifespan": months_between_boundaries(first, last),
-            "total_orders": F.countDistinct("order_number"),
             "total_sales": F.sum("sales_amount"),
             "total_quantity": F.sum("quantity"),
-            "total_customers": F.countDistinct("customer_key"),
             "avg_selling_price": round_to(ratio(F.sum(price), F.count(price)), 1),
         },
+        {"total_orders": "order_number", "total_customers": "customer_key"},
     )
     segments = first_match(
         [(F.col("total_sales") > 50000, "High-Performer"), (F.col("total_sales") >= 10000, "Mid-Range")],

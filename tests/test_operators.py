@@ -220,18 +220,20 @@ def test_rollup_by_attributes_keeps_orphans_in_one_group(frame):
 def test_rollup_by_entity_counts_distinct_over_all_orphans(frame, broadcast_rows):
     facts = frame(FACTS, "k string, o string, v int")
     dimension = frame([("p1", "x"), ("p2", "y"), ("p3", "z")], "k string, a string")
-    measures = {"orders": F.countDistinct("o"), "total": F.sum("v")}
-    got = rollup_by_entity(facts, "k", dimension, ["k", "a"], measures, broadcast_rows)
+    measures, distinct = {"total": F.sum("v")}, {"orders": "o", "amounts": "v"}
+    got = rollup_by_entity(facts, "k", dimension, ["k", "a"], measures, distinct, broadcast_rows)
     joined = facts.join(dimension, "k", "left").select(F.when(F.col("a").isNotNull(), F.col("k")).alias("k"), "a", "o", "v")
-    expected = joined.groupBy("k", "a").agg(F.countDistinct("o").alias("orders"), F.sum("v").alias("total"))
+    expected = joined.groupBy("k", "a").agg(
+        F.sum("v").alias("total"), F.countDistinct("o").alias("orders"), F.countDistinct("v").alias("amounts")
+    )
     assert values(got) == values(expected)
-    assert (None, None, 2, 16) in values(got)
+    assert (None, None, 16, 2, 3) in values(got)
 
 
 def test_rollup_by_entity_without_orphans(frame):
     facts = frame(FACTS[:3], "k string, o string, v int")
     dimension = frame([("p1", "x"), ("p2", "y")], "k string, a string")
-    got = rollup_by_entity(facts, "k", dimension, ["a"], {"orders": F.countDistinct("o")})
+    got = rollup_by_entity(facts, "k", dimension, ["a"], {}, {"orders": "o"})
     assert values(got) == [("x", 1), ("y", 1)]
 
 
@@ -269,3 +271,14 @@ def test_stage_keeps_rows_and_types(frame):
     df = frame(skewed(20), SKEWED)
     assert values(staging.stage(df)) == values(df)
     assert staging.stage(df).dtypes == df.dtypes
+
+
+def test_stage_uses_the_folder_the_cluster_names():
+    class Named(FakeSession):
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.checkpoint.dir": "/shared/checkpoints/"}.get(key, default)
+
+    assert staging.shared_folder(Named()) == "/shared/checkpoints"
+    assert staging.new_path(Named(), "x").startswith("/shared/checkpoints/saleslens/app/x-")
