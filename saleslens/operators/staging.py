@@ -6,30 +6,31 @@ count in its footers and gives later steps one fixed version of the rows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folders: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only on a local master."""
+    """`spark.checkpoint.dir` of the session, else a folder in its warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if context.applicationId not in _own_folders:
-        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="saleslens-")
-    return _own_folders[context.applicationId]
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/staged").rstrip("/")
+
+
+def application_folder(spark: SparkSession) -> str:
+    """The folder of this application's staged tables; it goes when the application ends."""
+    folder = f"{shared_folder(spark)}/saleslens/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path not used before, below a folder of this application."""
-    return f"{shared_folder(spark)}/saleslens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path not used before, below the folder of this application."""
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -18,11 +18,14 @@ def connection():
     return database(FOLDER)
 
 
+LIBRARY = sorted(n for n in registered.queries() if n != "pipeline" and not n.startswith("op"))
+
+
 def test_same_keys():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(LIBRARY) == {n for n in registered.oracle_sql() if n in LIBRARY}
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", LIBRARY)
 def test_query(spark, connection, name):
     df = registered.queries()[name](spark, FOLDER)
     plan = plan_of(df)
