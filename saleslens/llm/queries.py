@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_pairs, licenses, url_filter
+from . import byte_pairs, licenses, near_copies, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,11 @@ def tokenizer_file() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def near_copy_components(spark: SparkSession, folder: str) -> DataFrame:
+    rule = near_copies.NearCopyRule(words=3, percent=85, bands=32)
+    return near_copies.near_copies(table(spark, folder, "documents", "doc_id", "text"), rule)
+
+
 def licences(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.recognise(table(spark, folder, "documents", "doc_id", "text"))
     joined = {c: F.array_join(c, ",") for c in ("sentence_ids", "licences", "unmatched_ids")}
@@ -43,6 +48,7 @@ def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_circulant_minhash": near_copy_components,
     "op4_licence_sentences": licences,
     "op7_byte_pairs": byte_pair_tokens,
     "op9_redirect_equivalence": url_verdicts,
