@@ -127,8 +127,9 @@ def _shingle_sets(docs: DataFrame, rule: NearCopyRule) -> DataFrame:
 
 def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of `df` whose key is among the staged `ids` (column `doc`); few ids are broadcast."""
+    named = ids.select(F.col("doc").alias("_wanted"))
     few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("doc"), "left_semi")
+    return df.join(F.broadcast(named) if few else named, F.col(key) == F.col("_wanted"), "left_semi")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, rule: NearCopyRule) -> DataFrame:
@@ -286,6 +287,7 @@ def near_copies(docs: DataFrame, rule: NearCopyRule = NearCopyRule()) -> DataFra
 
 def drop_near_copies(docs: DataFrame, rule: NearCopyRule = NearCopyRule()) -> DataFrame:
     """`docs` without the rows that `near_copies` doesn't keep; of rows with one doc_id all stay or go."""
-    gone = stage(near_copies(docs, rule).filter("not kept").select(F.col("doc_id").alias("doc")).distinct(), "dropped")
+    dropped = near_copies(docs, rule).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    gone = stage(dropped, "dropped")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("doc"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_dropped"), "left_anti")

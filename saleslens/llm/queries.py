@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_pairs, licenses, near_copies, url_filter
+from . import byte_pairs, licenses, near_copies, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,12 @@ def tokenizer_file() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    scored = toxicity.score(docs, table(spark, folder, "labels", "doc_id", "toxic"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def near_copy_components(spark: SparkSession, folder: str) -> DataFrame:
     rule = near_copies.NearCopyRule(words=3, percent=85, bands=32)
     return near_copies.near_copies(table(spark, folder, "documents", "doc_id", "text"), rule)
@@ -48,6 +54,7 @@ def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_ftrl_toxicity": toxicity_scores,
     "op3_circulant_minhash": near_copy_components,
     "op4_licence_sentences": licences,
     "op7_byte_pairs": byte_pair_tokens,
