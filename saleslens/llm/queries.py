@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_pairs, licenses, near_copies, toxicity, url_filter
+from . import byte_pairs, decontamination, licenses, near_copies, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,12 +53,18 @@ def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return decontamination.find_leaks(docs, table(spark, folder, "benchmark", "item_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_ftrl_toxicity": toxicity_scores,
     "op3_circulant_minhash": near_copy_components,
     "op4_licence_sentences": licences,
     "op7_byte_pairs": byte_pair_tokens,
     "op9_redirect_equivalence": url_verdicts,
+    "op10_rare_seed_alignment": benchmark_leaks,
 }
 
 SQL: dict[str, str] = {}
