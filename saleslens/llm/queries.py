@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_pairs, decontamination, licenses, near_copies, toxicity, url_filter
+from . import byte_pairs, decontamination, licenses, near_copies, personal_data, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,22 @@ def licences(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns(joined).select("doc_id", *joined)
 
 
+def personal_data_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, folder, "documents", "doc_id", "text"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in (*(k.name for k in personal_data.KINDS), personal_data.TERM)]
+    base = F.filter("spans", lambda s: s["kind"] != personal_data.TERM)
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(personal_data.span_texts(base), 256).alias("base_sha256"),
+        personal_data.span_texts(F.col("spans")).alias("spans"),
+    )
+
+
 def byte_pair_tokens(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     return byte_pairs.token_digests(docs, tokenizer_file()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -62,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op2_ftrl_toxicity": toxicity_scores,
     "op3_circulant_minhash": near_copy_components,
     "op4_licence_sentences": licences,
+    "op5_disclosure_sanitising": personal_data_spans,
     "op7_byte_pairs": byte_pair_tokens,
     "op9_redirect_equivalence": url_verdicts,
     "op10_rare_seed_alignment": benchmark_leaks,
