@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_pairs, decontamination, licenses, near_copies, personal_data, toxicity, url_filter
+from . import byte_pairs, decontamination, licenses, near_copies, personal_data, site_trees, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,11 @@ def personal_data_spans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    found = site_trees.extract_text(table(spark, folder, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def byte_pair_tokens(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     return byte_pairs.token_digests(docs, tokenizer_file()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -79,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op3_circulant_minhash": near_copy_components,
     "op4_licence_sentences": licences,
     "op5_disclosure_sanitising": personal_data_spans,
+    "op6_site_style_trees": page_texts,
     "op7_byte_pairs": byte_pair_tokens,
     "op9_redirect_equivalence": url_verdicts,
     "op10_rare_seed_alignment": benchmark_leaks,
