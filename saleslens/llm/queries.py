@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_pairs, decontamination, licenses, near_copies, personal_data, site_trees, toxicity, url_filter
+from . import byte_pairs, decontamination, licenses, near_copies, personal_data, site_trees, top_products, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,11 @@ def byte_pair_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return byte_pairs.token_digests(docs, tokenizer_file()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def top_inner_products(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = top_products.whole_vectors(table(spark, folder, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 64.0)
+    return top_products.top_products(vectors.filter("id % 20 = 0"), vectors)
+
+
 def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     judged = url_filter.judge(table(spark, folder, "pages", "page_id", "url", "html"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -86,8 +91,24 @@ QUERIES: dict[str, Query] = {
     "op5_disclosure_sanitising": personal_data_spans,
     "op6_site_style_trees": page_texts,
     "op7_byte_pairs": byte_pair_tokens,
+    "op8_norm_buckets": top_inner_products,
     "op9_redirect_equivalence": url_verdicts,
     "op10_rare_seed_alignment": benchmark_leaks,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_norm_buckets": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+            from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
+        )
+        select query_id, rank, vec_id, score
+        from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+        where rank <= 20
+    """,
+}
