@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -185,10 +186,15 @@ def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def installed_vocabulary() -> str:
+    """Path of the byte-level vocabulary among the installed public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def _read(spark: SparkSession, path: str) -> str:
     """The vocabulary file, of bounded size, through Spark's readers if the driver has no such file."""
-    import os
-
     if os.path.exists(path):
         with open(path, encoding="utf-8") as file:
             return file.read()

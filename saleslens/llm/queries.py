@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_pairs, decontamination, licenses, near_copies, personal_data, site_trees, top_products, toxicity, url_filter
+import corpus_pipeline
+
+from . import byte_pairs, decontamination, licenses, near_copies, personal_data, resharding, site_trees, top_products, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,14 +17,24 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
-def tokenizer_file() -> str:
-    """The byte-level vocabulary: TOKENIZER_FILE, else the installed one."""
-    given = os.environ.get("TOKENIZER_FILE")
-    if given:
-        return given
-    import public_tokenizers
+#: The shards that documents lie in now: dealt by their source, so one of them holds a third of all rows.
+OLD_SHARDS = 20
+
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+def shard_places(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "source")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
+    placed = resharding.reshard(docs, old)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "old_shard",
+    )
 
 
 def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +77,7 @@ def page_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def byte_pair_tokens(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
-    return byte_pairs.token_digests(docs, tokenizer_file()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return byte_pairs.token_digests(docs, byte_pairs.installed_vocabulary()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def top_inner_products(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,6 +96,7 @@ def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_flow_resharding": shard_places,
     "op2_ftrl_toxicity": toxicity_scores,
     "op3_circulant_minhash": near_copy_components,
     "op4_licence_sentences": licences,
@@ -94,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op8_norm_buckets": top_inner_products,
     "op9_redirect_equivalence": url_verdicts,
     "op10_rare_seed_alignment": benchmark_leaks,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {

@@ -117,6 +117,19 @@ def train(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> tu
     return weights, float(model.loc[model["slot"] < 0, "weight"].iloc[0])
 
 
+def _scores(column: pa.Array, model: tuple[np.ndarray, np.ndarray, float], slots: int) -> np.ndarray:
+    """Score of each text by the weights that L1 left."""
+    weights = np.zeros(slots)
+    weights[model[0]] = model[1]
+    sums = np.array([weights[s].sum() for s in text_slots(column, slots, weights != 0)]) + model[2]
+    return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
+
+
+def _compact(docs: DataFrame, model: tuple[np.ndarray, float]):
+    kept = np.flatnonzero(model[0])
+    return docs.sparkSession.sparkContext.broadcast((kept, model[0][kept], model[1]))
+
+
 def score(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> DataFrame:
     """`doc_id`, `score` (0 to 1) and `predicted` (1 from 0.5 on) of each whole text of `docs`.
 
@@ -127,18 +140,26 @@ def score(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> Da
     model = train(docs, labels, rule)
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    kept = np.flatnonzero(model[0])
-    sent = docs.sparkSession.sparkContext.broadcast((kept, model[0][kept], model[1]))
+    sent = _compact(docs, model)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, values, bias = sent.value
-        weights = np.zeros(rule.slots)
-        weights[slots] = values
-        wanted = weights != 0
         for batch in batches:
-            sums = np.array([weights[s].sum() for s in text_slots(batch.column(1), rule.slots, wanted)]) + bias
-            scores = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
+            scores = _scores(batch.column(1), sent.value, rule.slots)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(mark, "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> DataFrame:
+    """The rows of `docs` that score below 0.5, with all their columns; all rows without labelled documents."""
+    model = train(docs, labels, rule)
+    if model is None:
+        return docs
+    sent = _compact(docs, model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column("text"), sent.value, rule.slots) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
