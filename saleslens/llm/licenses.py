@@ -111,10 +111,13 @@ RULES = (
 )
 
 # Every known sentence holds one of these words, so texts and sentences without them need no look.
-HINT = "licen[cs]e|permission|redistribution|copyright|software|warrant|public domain|distributed|rights reserved|mozilla|mpl"
+HINT = (
+    "licen[cs]e|permission|redistribution|copyright|software|warrant|domain|distributed|reserved|mozilla|mpl|cc0|"
+    "creative|neither|event"
+)
 
-# A sentence ends at a line break or after a full stop, colon or mark followed by white space.
-SENTENCE_END = r"[.:;!?]+\s+|\s*\n\s*"
+# A sentence ends at a line break or after a full stop, semicolon or mark followed by white space.
+SENTENCE_END = r"[.;!?]+\s+|\s*\n\s*"
 
 
 def normalised(sentence: Column) -> Column:

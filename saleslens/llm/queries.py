@@ -109,7 +109,94 @@ QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 }
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _licence_sql() -> str:
+    """Every sentence of every text against every pattern, then the rules as replacements in their order."""
+    known = " ".join(f"when regexp_matches(s, '{pattern}') then '{name}'" for name, pattern in licenses.SENTENCES)
+    marked = "'<' || array_to_string(ids, '><') || '>'"
+    for name, sequence in licenses.RULES:
+        marked = f"replace({marked}, '<{sequence.replace(' ', '><')}>', '[{name}]')"
+    return f"""
+        with sentences as (
+            select doc_id, list_filter(list_transform(list_transform(
+                regexp_split_to_array(coalesce(text, ''), '[.;!?]+\\s+|\\s*\\n\\s*'),
+                lambda part: trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
+                lambda s: case {known} end), lambda i: i is not null) as ids
+            from documents
+        ), marked as (
+            select doc_id, ids, case when len(ids) > 0 then {marked} else '' end as m from sentences
+        )
+        select doc_id, array_to_string(ids, ',') as sentence_ids,
+            array_to_string(list_sort(list_distinct(regexp_extract_all(m, '\\[([^\\]]*)\\]', 1))), ',') as licences,
+            array_to_string(regexp_extract_all(m, '<([^>]*)>', 1), ',') as unmatched_ids
+        from marked
+    """
+
+
+def _url_sql() -> str:
+    """Rules by a join, links of the pages followed by recursion."""
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in url_filter.RULES)
+    return f"""
+        with recursive rules(verdict, host, path) as (values {rules}),
+        tags as (
+            select url, unnest(regexp_extract_all(page, '(?i)<(?:link|meta)\\b[^>]*>')) as tag
+            from (select url, regexp_replace(html, '<!--.*?-->|<script\\b.*?</script\\s*>', ' ', 'gis') as page from pages)
+            where strpos(url, '://') > 0
+        ), found as (
+            select url, regexp_extract(tag, '(?i)\\bhref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s>"'']+))', 1)
+                || regexp_extract(tag, '(?i)\\bhref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s>"'']+))', 2)
+                || regexp_extract(tag, '(?i)\\bhref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s>"'']+))', 3) as link
+            from tags where regexp_matches(tag, '(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b')
+            union all
+            select url, regexp_extract(tag, '(?i)url\\s*=\\s*[''"]?([^''">\\s]+)', 1)
+            from tags where regexp_matches(tag, '(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')
+        ), links as (
+            select url as source, case
+                when link = '' then null
+                when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link
+                when starts_with(link, '//') then regexp_extract(url, '^(.*?)://', 1) || ':' || link
+                when starts_with(link, '/') then regexp_extract(url, '^.*?://[^/?#]*') || link
+                else regexp_extract(url, '^.*?://[^/?#]*') || coalesce(nullif(regexp_extract(
+                    regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '^(.*/)'), ''), '/') || link end as target
+            from (select url, trim(replace(link, '&amp;', '&')) as link from found)
+        ), urls as (
+            select distinct url from (select url from pages union all select source from links union all select target from links)
+        ), parsed as (
+            select url, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) as host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+                case when strpos(url, '://') > 0 then translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER})
+                    || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) end as resource
+            from (select url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from urls)
+        ), judged as (
+            select p.url, any_value(p.host) as host, any_value(p.path) as path, any_value(p.resource) as resource,
+                arg_max(r.host || r.path, length(r.host || r.path)) as rule,
+                arg_max(r.verdict, length(r.host || r.path)) as own
+            from parsed p left join rules r
+                on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+            group by p.url
+        ), edges as (
+            select a.resource as a, b.resource as b from links join judged a on a.url = source join judged b on b.url = target
+            where a.resource <> b.resource
+            union
+            select b.resource, a.resource from links join judged a on a.url = source join judged b on b.url = target
+            where a.resource <> b.resource
+        ), reach(node, other) as (
+            select a, a from edges union select node, b from reach join edges on other = a
+        ), aliases as (
+            select node, case when bool_or(own = 'block') and not coalesce(bool_or(own = 'allow'), false)
+                then 'block' else 'allow' end as verdict
+            from reach join judged on resource = other group by node
+        )
+        select page_id, host, path, rule, coalesce(own, aliases.verdict, 'allow') as verdict
+        from pages left join judged on pages.url is not distinct from judged.url left join aliases on node = resource
+    """
+
+
 SQL: dict[str, str] = {
+    "op4_licence_sentences": _licence_sql(),
+    "op9_redirect_equivalence": _url_sql(),
     "op8_norm_buckets": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e

@@ -1,0 +1,378 @@
+"""Toxicity, near copies, leaks, personal data: against brute force on small hand-made tables."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from saleslens.llm import decontamination, near_copies, personal_data, toxicity, words
+
+FOLDER = Path("/root/testdata/sf0.1")
+SCHEMA = "doc_id long, text string, lang string, doc string, n_chars int"
+EDGES = [
+    (None, "a null id", "en", "x", 9),
+    (1, None, "en", "x", None),
+    (2, "", "en", "x", 0),
+    (3, " \t\n\x0b\f\r ", "en", "x", 7),
+    (4, "one", "en", None, 3),
+    (4, "one", "en", None, 3),
+    (5, "One", None, "x", 3),
+    (6, "ümlaut Ünd  ß é️🙂   x", "de", "x", 20),
+    (7, "word " * 400_000, "en", "x", 2_000_000),
+]
+
+
+def vocabulary(seed=0, n=400):
+    draw = random.Random(seed)
+    return ["".join(draw.choice("bcdfglmnprst") + draw.choice("aeiou") for _ in range(draw.randint(1, 4))) for _ in range(n)]
+
+
+def prose(draw, words_, n):
+    return " ".join(draw.choice(words_) for _ in range(n))
+
+
+@pytest.fixture
+def edges(frame):
+    return frame(EDGES, SCHEMA)
+
+
+@pytest.fixture
+def nothing(frame):
+    return frame([], SCHEMA)
+
+
+# words
+
+
+def split(text):
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [w for w in re.split(r"[ \t-\r]+", lowered) if w]
+
+
+def test_words_hash_alike_whatever_the_chunks(monkeypatch):
+    texts = ["A b  c\td", "a B c D", None, "", "x", "x" * 50 + " y", " a\x0bb\fc ", "é É", "b c"]
+
+    def by_text():
+        found = []
+        for _, counts, hashes in words.words_of(pa.array(texts), words.WHITE_SPACE):
+            found += [h.tolist() for h in np.split(hashes, np.cumsum(counts)[:-1])]
+        return found
+
+    whole = by_text()
+    known = {}
+    for text, hashes in zip(texts, whole):
+        assert len(hashes) == len(split(text))
+        for word, value in zip(split(text), hashes):
+            assert known.setdefault(word, value) == value
+    assert len(set(known.values())) == len(known)
+    monkeypatch.setattr(words, "CHUNK_BYTES", 8)
+    assert by_text() == whole
+
+
+def test_grams_stay_within_their_text():
+    counts, hashes = np.array([2, 0, 3]), words.numbers(5, 9)
+    _, at = words.grams(counts, hashes, (0, 2))
+    assert at.tolist() == [2]
+    assert words.shingles(counts, hashes, 3)[0].tolist() == [1, 0, 1]
+
+
+# near copies
+
+
+def shingle_set(text, n):
+    found = split(text)
+    if not found:
+        return frozenset()
+    return frozenset(tuple(found[i : i + n]) for i in range(max(len(found) - n + 1, 1)))
+
+
+def components(rows, n, percent):
+    """Smallest id of each id's component, by all pairs."""
+    sets = {i: shingle_set(t, n) for i, t in rows if i is not None}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and both * 100 >= percent * (len(sets[a]) + len(sets[b]) - both):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    return {i: root(i) for i in sets}, sets
+
+
+def copies_of(base, draw, vocab, edits):
+    changed = base.split(" ")
+    for _ in range(edits):
+        changed[draw.randrange(len(changed))] = draw.choice(vocab)
+    return " ".join(changed)
+
+
+@pytest.mark.parametrize("n, percent, bands", [(3, 85, 32), (5, 80, 40)])
+def test_near_copies_equal_all_pairs(frame, n, percent, bands):
+    draw, vocab = random.Random(percent), vocabulary()
+    texts = [prose(draw, vocab, draw.randint(1, 60)) for _ in range(60)]
+    base, passage = prose(draw, vocab, 120), prose(draw, vocab, 40)
+    texts += [copies_of(base, draw, vocab, draw.randint(0, 14)) for _ in range(150)]  # linked and not, in one bucket
+    texts += [base] * 40 + [prose(draw, vocab, 30) + " " + passage for _ in range(40)]
+    texts += ["a b", "A  B", "a", "", None, "b a"]
+    draw.shuffle(texts)
+    rows = list(enumerate(texts))
+    expected, sets = components(rows, n, percent)
+    rule = near_copies.NearCopyRule(words=n, percent=percent, bands=bands)
+    found = near_copies.near_copies(frame(rows, "doc_id long, text string"), rule).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        assert (row.n_shingles, row.component_id) == (len(sets[row.doc_id]), expected[row.doc_id]), row
+        assert row.kept == (row.doc_id == row.component_id)
+
+
+def test_near_copies_of_edge_rows(edges, nothing):
+    found = near_copies.near_copies(edges)
+    rows = sorted((tuple(r) for r in found.collect()), key=repr)
+    assert len(rows) == len(EDGES)
+    by_id = {r[0]: r for r in rows}
+    assert by_id[1] == (1, 0, 1, True) and by_id[2] == (2, 0, 2, True) and by_id[3] == (3, 0, 3, True)
+    assert by_id[4] == (4, 1, 4, True) and by_id[5] == (5, 1, 4, False)
+    assert by_id[7][1] == 1 and by_id[None][2:] == (None, True)
+    kept = near_copies.drop_near_copies(edges)
+    assert kept.columns == edges.columns and kept.count() == len(EDGES) - 1
+    assert near_copies.near_copies(nothing).count() == 0
+    assert near_copies.drop_near_copies(nothing).count() == 0
+
+
+# toxicity
+
+
+def test_held_out_accuracy(spark):
+    if not FOLDER.exists():
+        pytest.skip("no given tables")
+    docs = spark.read.parquet(str(FOLDER / "documents.parquet"))
+    labels = spark.read.parquet(str(FOLDER / "labels.parquet"))
+    rows = (
+        toxicity.score(docs, labels)
+        .join(labels, "doc_id")
+        .filter(toxicity.held_out(F.col("doc_id")))
+        .select("score", "predicted", "toxic")
+        .collect()
+    )
+    score, right = np.array([r.score for r in rows]), np.array([r.toxic for r in rows])
+    ranks = score.argsort().argsort() + 1
+    positives = right.sum()
+    area = (ranks[right == 1].sum() - positives * (positives + 1) / 2) / (positives * (len(right) - positives))
+    assert area > 0.95
+    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.95
+    assert np.mean([r.predicted for r in rows if not r.toxic]) < 0.01
+
+
+def test_labels_count_outside_the_held_out_fold_only(spark, frame):
+    draw, vocab = random.Random(3), vocabulary()
+    rows = [(i, prose(draw, vocab, 30) + (" idiot" if i % 3 == 0 else ""), i % 3 == 0) for i in range(300)]
+    docs = frame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    rule = toxicity.FtrlRule(l1=1.0)
+
+    def weights(flip):
+        labels = [(i, int(y != (flip and zlib.crc32(str(i).encode()) % 5 == 0))) for i, _, y in rows]
+        return toxicity.train(docs, frame(labels, "doc_id long, toxic int"), rule)
+
+    one, other = weights(False), weights(True)
+    assert np.array_equal(one[0], other[0]) and one[1] == other[1]
+    scored = {r.doc_id: r.predicted for r in toxicity.score(docs, frame([(i, int(y)) for i, _, y in rows], "doc_id long, toxic int"), rule).collect()}
+    assert sum(scored[i] == y for i, _, y in rows) > 290
+
+
+def test_sample_of_labelled_rows_is_bounded(frame):
+    docs = frame([(i, "word") for i in range(50)], "doc_id long, text string")
+    labels = frame([(i, i % 2) for i in range(50)] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, toxicity.FtrlRule(training_rows=7))[1] != 0
+
+
+def test_toxicity_of_edge_rows(frame, edges, nothing):
+    labels = frame([(i, int(i == 4)) for i in range(8)] + [(4, 0), (5, None), (None, 1)], "doc_id long, toxic int")
+    found = toxicity.score(edges, labels).collect()
+    assert len(found) == len(EDGES) and all(0 <= r.score <= 1 for r in found)
+    assert len({r.score for r in found if r.doc_id in (1, 2, 3)}) == 1
+    assert toxicity.drop_toxic(edges, labels).columns == edges.columns
+    assert {r.score for r in toxicity.score(edges, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.drop_toxic(edges, labels.limit(0)).count() == len(EDGES)
+    assert toxicity.score(nothing, labels).count() == 0
+
+
+# benchmark leaks
+
+
+def align(item, passage):
+    """Smith-Waterman by its recurrence."""
+    best, above = 0, [0] * (len(passage) + 1)
+    for a in item:
+        row = [0]
+        for j, b in enumerate(passage):
+            row.append(max(0, above[j] + (1 if a == b else -1), above[j + 1] - 1, row[-1] - 1))
+        best, above = max(best, *row), row
+    return best
+
+
+def test_alignment_equals_its_recurrence():
+    draw = np.random.default_rng(0)
+    for _ in range(200):
+        item, passage = draw.integers(0, 4, draw.integers(1, 12)), draw.integers(0, 4, draw.integers(1, 20))
+        assert decontamination.local_alignment(item, passage)[0] == align(item.tolist(), passage.tolist())
+
+
+def test_leaks_are_found_and_clean_texts_left(frame):
+    draw, vocab = random.Random(5), vocabulary(n=1500)
+    items = [(i, prose(draw, vocab, draw.randint(12, 50))) for i in range(30)] + [(90, "two words"), (91, None), (None, "x y z")]
+    rows, leaked = [], set()
+    for i in range(400):
+        text = prose(draw, vocab, draw.randint(5, 300))
+        if i % 4 == 0:
+            item, words_ = items[draw.randrange(30)]
+            inner = words_.split(" ")
+            if i % 8 == 0:  # an edited copy
+                inner[len(inner) // 2] = "other"
+                inner.insert(len(inner) // 4, "new")
+            at = draw.randint(0, len(text))
+            text = f"{text[:at]}. {' '.join(inner).upper()}, {text[at:]}"
+            leaked.add((i, item))
+        rows.append((i, text))
+    rows += [(i, items[7][1]) for i in range(1000, 1200)]  # a passage that many share is found all the same
+    leaked |= {(i, 7) for i in range(1000, 1200)}
+    docs, bench = frame(rows, "doc_id long, text string"), frame(items, "item_id long, text string")
+    found = decontamination.find_leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == leaked and len(found) == len(leaked)
+    kept = {r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, _ in leaked}
+
+
+def test_a_large_benchmark_takes_several_passes(frame, monkeypatch):
+    draw, vocab = random.Random(6), vocabulary()
+    items = [(i, prose(draw, vocab, 20)) for i in range(10)]
+    docs = frame([(i, t) for i, t in items] + [(99, prose(draw, vocab, 50))], "doc_id long, text string")
+    bench = frame(items, "item_id long, text string")
+    monkeypatch.setattr(decontamination, "WORDS_A_PASS", 60)
+    found = decontamination.find_leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(10)}
+    assert decontamination.drop_leaks(docs, bench).count() == 1
+
+
+def test_leaks_in_edge_rows(frame, edges, nothing):
+    bench = frame([(1, "word " * 30), (2, None), (3, "")], "item_id long, text string")
+    found = decontamination.find_leaks(edges, bench).collect()
+    assert [(r.doc_id, r.item_id, r.score) for r in found] == [(7, 1, 30)]
+    assert decontamination.drop_leaks(edges, bench).count() == len(EDGES) - 1
+    assert decontamination.drop_leaks(edges, bench).columns == edges.columns
+    assert decontamination.find_leaks(nothing, bench).count() == 0
+    assert decontamination.find_leaks(edges, bench.limit(0)).count() == 0
+    assert decontamination.drop_leaks(edges, bench.limit(0)).count() == len(EDGES)
+
+
+# personal data
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+
+
+def base_spans(text):
+    found = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if (
+                kind == "email"
+                or kind == "ip" and all(int(part) <= 255 for part in m[0].split("."))
+                or kind == "card" and 13 <= len(digits) <= 19 and luhn(digits)
+                or kind == "phone" and 9 <= len(digits) <= 15
+            ):
+                found.append((kind, m.start(), m.end()))
+    return found
+
+
+def test_base_spans_equal_the_stated_patterns(frame):
+    draw = random.Random(8)
+    bits = [
+        "a.b+c@d-e.com", "x@y", "@", "a@b.c_d@e.f", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.2.3.255", "0.0.0.0",
+        "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111112", "378282246310005", "+1 (555) 555-0100", "+12345678", "+1234567890123456",
+        "+49 30 1234567)", "é", "🙂", " ", "\n", ".", "-", "5", "1234567890" * 3, "_", "%", "ü@é.de", "+",
+    ]
+    rows = [(i, "".join(draw.choice(bits) + draw.choice(["", " "]) for _ in range(draw.randint(1, 25)))) for i in range(400)]
+    rows += [(1000, "1 " * 30_000), (1001, "a" * 100_000), (1002, "a@b.cd " * 3000), (1003, None), (1004, "")]
+    found = personal_data.find_personal_data(frame(rows, "doc_id long, text string"))
+    for row in found.collect():
+        text = dict(rows)[row.doc_id]
+        own = [(s.kind, s.start, s.end) for s in row.spans if s.kind != "term"]
+        assert own == base_spans(text), text[:200]
+        assert all(text[s.start : s.end] == s.value for s in row.spans)
+
+
+def test_terms_that_give_a_value_away_are_found(frame):
+    draw, vocab = random.Random(9), vocabulary()
+    rows = [(i, prose(draw, vocab, 60)) for i in range(300)]
+    for i in range(0, 60, 10):  # always beside this address, nowhere else
+        rows[i] = (i, f"{prose(draw, vocab, 20)} Zanzibarian write to ann@x.org or else {prose(draw, vocab, 10)} zanzibarian")
+    rows[1] = (1, "Zanzibarian without the address")
+    rows += [(1000 + i, f"copied copied unique{'' if i else ''} bob@y.org text") for i in range(50)]  # copies count once
+    found = {r.doc_id: r for r in personal_data.find_personal_data(frame(rows, "doc_id long, text string")).collect()}
+    for i in range(0, 60, 10):
+        terms = [s for s in found[i].spans if s.kind == "term"]
+        assert [s.value for s in terms if s.value.lower() == "zanzibarian"] == ["Zanzibarian", "zanzibarian"]
+        assert all(0.8 <= s.disclosure <= 1 for s in terms)
+        assert "anzibarian" not in found[i].sanitised and "ann@" not in found[i].sanitised and "[EMAIL]" in found[i].sanitised
+    assert found[1].spans == [] and found[1].sanitised == rows[1][1]
+    assert [s.kind for s in found[1000].spans] == ["email"]
+    assert found[1000].sanitised == "copied copied unique [EMAIL] text"
+
+
+def test_disclosure_is_the_share_of_information(frame):
+    rule = personal_data.DisclosureRule(support=2, generalise=0.0)
+    rows = [(i, f"clue{'x' * i} clue a{i} ann@x.org") for i in range(4)] + [(10 + i, "clue elsewhere") for i in range(4)]
+    rows += [(20 + i, "filler words only") for i in range(8)]
+    found = personal_data.find_personal_data(frame(rows, "doc_id long, text string"), rule).filter("doc_id = 1").first()
+    value = {s.value: s.disclosure for s in found.spans if s.kind == "term"}["clue"]
+    assert value == pytest.approx(np.log2(16 * 4 / (4 * 8)) / np.log2(16 / 4))
+
+
+def test_generalised_words_keep_their_kind(frame):
+    rule = personal_data.DisclosureRule(support=2, generalise=0.1, remove=2.0)
+    rows = [(i, f"Berlinersee room2077 garden n{i} ann@x.org 1.2.3.4") for i in range(3)] + [(9, "x")] * 5
+    found = personal_data.find_personal_data(frame(rows, "doc_id long, text string"), rule).filter("doc_id = 0").first()
+    assert found.sanitised == "[NAME] [NUMBER] [WORD] n0 [EMAIL] [IP]"
+
+
+def test_overlapping_spans_leave_nothing(frame):
+    row = personal_data.find_personal_data(frame([(1, "x 1.2.3.4@a.com +4111111111111111 y")], "doc_id long, text string")).first()
+    assert re.search("[0-9]{2}|@", row.sanitised) is None and row.sanitised.startswith("x [") and row.sanitised.endswith(" y")
+
+
+def test_personal_data_runs_no_python(frame):
+    rows = frame([(1, "ann@x.org")], "doc_id long, text string")
+    plan = personal_data.find_personal_data(rows)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_sanitising_edge_rows(frame, edges, nothing):
+    after = personal_data.sanitise(edges)
+    assert after.columns == edges.columns and after.schema == edges.schema
+    assert sorted(map(repr, after.collect())) == sorted(map(repr, edges.collect()))
+    changed = personal_data.sanitise(frame([(1, "to a@b.cd", "en", "x", 9)], SCHEMA)).first()
+    assert (changed.text, changed.n_chars) == ("to [EMAIL]", 10)
+    assert personal_data.sanitise(nothing).count() == 0
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")  # the digest of a text without spans
