@@ -3,7 +3,14 @@
 from .spelling import with_shapes
 
 PERSON = "patient_id, first_name, last_name, date_of_birth"
-DAY = "TRY_CAST(TRY_CAST(admission_date AS TIMESTAMP) AS DATE)"
+_CLOCK = "([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?"
+_SPELLED = "regexp_extract_all(admission_date, '[0-9]+')"
+DAY = f"""TRY_CAST(CASE
+    WHEN regexp_full_match(admission_date, ' *[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}{_CLOCK} *')
+        THEN concat({_SPELLED}[1], '-', {_SPELLED}[2], '-', {_SPELLED}[3])
+    WHEN regexp_full_match(admission_date, ' *[0-9]{{8}} *')
+        THEN concat(substr(trim(admission_date), 1, 4), '-', substr(trim(admission_date), 5, 2), '-', substr(trim(admission_date), 7))
+    END AS DATE)"""
 GENDER = (
     "CASE WHEN upper(gender) IN ('M', 'MALE') THEN 'Male' "
     "WHEN upper(gender) IN ('F', 'FEMALE') THEN 'Female' ELSE 'Unknown' END"

@@ -39,3 +39,28 @@ def with_shapes(body: str) -> str:
     if body[:5].upper() == "WITH ":
         return f"WITH {shapes}, {body[5:]}"
     return f"WITH {shapes} {body}"
+
+
+def segment_of(recency: str, frequency: str, monetary: str, at_risk_frequency: int) -> str:
+    """The segment rules, in the order in which they count, over three scores."""
+    rules = [
+        ((4, 4, 4), ">=", "Champions"),
+        ((3, 3, None), ">=", "Loyal Customers"),
+        ((4, None, None), ">=", "New Customers"),
+        ((None, at_risk_frequency, None), ">=", "At Risk"),
+        ((2, 2, 2), "<=", "Lost Customers"),
+    ]
+    cases = []
+    for limits, sign, name in rules:
+        conditions = [f"{c} {sign} {n}" for c, n in zip((recency, frequency, monetary), limits) if n is not None]
+        cases.append(f"WHEN {' AND '.join(conditions)} THEN '{name}'")
+    return f"CASE {' '.join(cases)} ELSE 'Need Attention' END"
+
+
+def scored(source: str, at_risk_frequency: int, segment: str) -> str:
+    """Common tables `scored` and `named`: fifths of three figures (5 is best), ties by customer, and the segment."""
+    orders = {"r": "recency_days DESC NULLS LAST", "f": "frequency NULLS FIRST", "m": "monetary NULLS FIRST"}
+    fifths = ", ".join(f"ntile(5) OVER (ORDER BY {order}, customer_id) AS {name}" for name, order in orders.items())
+    return f"""
+    scored AS (SELECT *, {fifths} FROM {source}),
+    named AS (SELECT *, concat(r, f, m) AS rfm_cell, {segment_of("r", "f", "m", at_risk_frequency)} AS {segment} FROM scored)"""

@@ -28,8 +28,8 @@ def _periods(*names_and_values: str) -> str:
 
 def _segment(sales: str) -> str:
     return (
-        f"CASE WHEN lifespan < 12 OR lifespan IS NULL OR {sales} IS NULL THEN 'New' "
-        f"WHEN {sales} > 5000 THEN 'VIP' ELSE 'Regular' END"
+        f"CASE WHEN lifespan >= 12 AND {sales} > 5000 THEN 'VIP' "
+        f"WHEN lifespan >= 12 AND {sales} <= 5000 THEN 'Regular' ELSE 'New' END"
     )
 
 
@@ -67,8 +67,8 @@ _PRODUCTS = f"""
     ), report AS (
         SELECT product_key, product_name, category, subcategory, cost, last_sale_date,
             {small(f"date_diff('month', last_sale_date, {AS_OF})")} AS recency_in_months,
-            CASE WHEN total_sales > 50000 THEN 'High-Performer' WHEN total_sales < 10000 THEN 'Low-Performer'
-                 ELSE 'Mid-Range' END AS product_segment,
+            CASE WHEN total_sales > 50000 THEN 'High-Performer' WHEN total_sales >= 10000 THEN 'Mid-Range'
+                 ELSE 'Low-Performer' END AS product_segment,
             {small('lifespan')} AS lifespan, total_orders, {big('total_sales')} AS total_sales,
             {big('total_quantity')} AS total_quantity, total_customers,
             {rounded('CAST(prices AS DOUBLE) / nullif(priced, 0)', 1)} AS avg_selling_price,
@@ -94,29 +94,34 @@ _CUSTOMER_COLUMNS = {
 _LINE = """CASE trim(prd_line) WHEN 'M' THEN 'Mountain' WHEN 'R' THEN 'Road' WHEN 'S' THEN 'Other Sales'
     WHEN 'T' THEN 'Touring' ELSE 'n/a' END"""
 
-# Fields of a product line as they are written to the damaged extract.
-DAMAGED_COST = "CASE WHEN product_key % 13 = 0 THEN 'n/a' ELSE cast(cost as string) END"
-PRODUCT_FIELDS = [
-    "cast(product_key as string)",
-    "cast(product_id as string)",
-    "product_number",
-    "product_name",
-    "category_id",
-    "coalesce(category, '')",
-    "subcategory",
-    "maintenance",
-    DAMAGED_COST,
-    "product_line",
-    "cast(start_date as string)",
-]
-PRODUCT_TEXT = " || ',' || ".join(PRODUCT_FIELDS)
+# The tables of the star: their columns, and the field that a damaged extract has a word in.
+_STAR = {
+    "dim_customers": ("customer_id", "customer_key", "customer_key customer_id customer_number first_name last_name country "
+        "marital_status gender birthdate create_date"),
+    "dim_products": ("cost", "product_key", "product_key product_id product_number product_name category_id category subcategory "
+        "maintenance cost product_line start_date"),
+    "fact_sales": ("quantity", "product_key", "order_number product_key customer_key order_date shipping_date due_date "
+        "sales_amount quantity price"),
+}
+
+
+def _line(column: str, key: str, columns: str) -> str:
+    """The text of a line whose field `column` is spoiled."""
+    fields = [f"'n/a'" if c == column else f"coalesce(cast({c} as varchar), '')" for c in columns.split()]
+    return " || ',' || ".join(fields)
+
 
 _BODIES = {
-    "load_gold": f"""
-        SELECT 'dim_customers' AS table_name, count(*) AS row_count, {big('sum(customer_key)')} AS checksum FROM dim_customers
-        UNION ALL SELECT 'dim_products', count(*), {big('sum(product_key)')} FROM dim_products
-        UNION ALL SELECT 'fact_sales', count(*), {REVENUE} FROM fact_sales""",
-    "load_rejects": f"SELECT {PRODUCT_TEXT} AS rejected_line FROM dim_products WHERE product_key % 13 = 0",
+    "load_gold": " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count({c}) AS filled,
+            count(DISTINCT {c}) AS different, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM {t}"""
+        for t, (_, _, columns) in _STAR.items()
+        for c in columns.split()
+    ),
+    "load_rejects": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, {_line(*parts)} AS rejected_line FROM {t} WHERE {parts[1]} % 13 = 0"
+        for t, parts in _STAR.items()
+    ),
     "profile_tables": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS row_count, {small(str(n))} AS column_count FROM {t}"
         for t, n in _TABLE_COLUMNS.items()
@@ -195,9 +200,9 @@ _BODIES = {
             FROM yearly
         )
         SELECT {small('y')} AS order_year, product_name, sales AS current_sales, mid AS avg_sales, sales - mid AS diff_avg,
-            CASE sign(sales - mid) WHEN 1 THEN 'Above Avg' WHEN -1 THEN 'Below Avg' ELSE 'Avg' END AS avg_change,
+            CASE WHEN sales > mid THEN 'Above Avg' WHEN sales < mid THEN 'Below Avg' ELSE 'Avg' END AS avg_change,
             before AS py_sales, sales - before AS diff_py,
-            CASE sign(sales - before) WHEN 1 THEN 'Increase' WHEN -1 THEN 'Decrease' ELSE 'No Change' END AS py_change
+            CASE WHEN sales > before THEN 'Increase' WHEN sales < before THEN 'Decrease' ELSE 'No Change' END AS py_change
         FROM compared""",
     "product_cost_ranges": """
         SELECT CASE WHEN cost IS NULL OR cost > 1000 THEN 'Above 1000' WHEN cost > 500 THEN '500-1000'
@@ -244,7 +249,7 @@ _BODIES = {
             replace(substr(prd_key, 1, 5), '-', '_') AS category_id, cat AS category, subcat AS subcategory, maintenance,
             coalesce(prd_cost, 0) AS cost, {_LINE} AS product_line, prd_start_dt AS start_date
         FROM newest LEFT JOIN erp_px_cat ON id = replace(substr(prd_key, 1, 5), '-', '_')""",
-    "conform_categories": "SELECT *, TIMESTAMP '2024-12-30 14:06:37.18' AS dwh_create_date FROM erp_px_cat",
+    "conform_categories": "SELECT *, TIMESTAMP '2020-02-03 04:05:06.7' AS dwh_create_date FROM erp_px_cat",
 }
 
 SQL = {key: with_shapes(body) for key, body in _BODIES.items()}

@@ -30,3 +30,16 @@ def days_between(start: Column, end: Column) -> Column:
 
 def month_label(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM")
+
+
+# Spellings of a full date, a time of day may follow; 2024-01-31, 2024/1/31, 20240131.
+FULL_DATE = r"^ *([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)? *$"
+COMPACT_DATE = r"^ *([0-9]{4})([0-9]{2})([0-9]{2}) *$"
+
+
+def full_date(text: Column) -> Column:
+    """The date that a text spells with year, month and day; null for any other text."""
+    parts = F.when(text.rlike(FULL_DATE), F.regexp_replace(text, FULL_DATE, "$1-$2-$3")).when(
+        text.rlike(COMPACT_DATE), F.regexp_replace(text, COMPACT_DATE, "$1-$2-$3")
+    )
+    return parts.try_cast("date")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .keys import attach
-from .rollup import BROADCAST_ROWS
 from .staging import stage
 
 LARGE_BASKET = 500
@@ -17,6 +15,12 @@ def distinct_items(lines: DataFrame, basket: str, item: str) -> DataFrame:
     return lines.select(F.col(basket).alias("basket"), F.col(item).alias("item")).dropna().distinct()
 
 
+def with_sizes(items: DataFrame, name: str) -> DataFrame:
+    """Each row with the number of items in its basket, which is counted before the shuffle and joined back."""
+    sizes = items.groupBy("basket").agg(F.count("*").alias(name))
+    return items.join(stage(sizes, "basket-sizes"), "basket")
+
+
 def pair_counts(items: DataFrame, large_basket: int = LARGE_BASKET) -> DataFrame:
     """Baskets per pair item_a < item_b, from one row per basket and item.
 
@@ -24,7 +28,7 @@ def pair_counts(items: DataFrame, large_basket: int = LARGE_BASKET) -> DataFrame
     items is cut: each part joins some of its items with all of them, and the
     parts go to different tasks.
     """
-    sized = items.withColumn("_items", F.count("*").over(Window.partitionBy("basket")))
+    sized = with_sizes(items, "_items")
     small = sized.filter(F.col("_items") <= large_basket).select("basket", "item")
     large = sized.filter(F.col("_items") > large_basket)
     parts = F.ceil(F.col("_items") / large_basket).cast("int")
@@ -42,10 +46,23 @@ def _count(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("baskets"))
 
 
-def common_baskets(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Baskets that hold both items, for given pairs only: no other pair is built."""
-    with_a = pairs.select("item_a", "item_b").join(items.withColumnRenamed("item", "item_a"), "item_a")
-    return _count(with_a.join(items.withColumnRenamed("item", "item_b"), ["basket", "item_b"]))
+def common_baskets(pairs: DataFrame, items: DataFrame, popularity: DataFrame) -> DataFrame:
+    """Baskets that hold both items, for given pairs only: no other pair is built.
+
+    The rarer item of a pair is spread over its baskets, and the other one looked up there.
+    `popularity` has the number of `baskets` of each `item` of `items`.
+    """
+    counts = [popularity.select(F.col("item").alias(f"item_{s}"), F.col("baskets").alias(f"n_{s}")) for s in "ab"]
+    placed = pairs.select("item_a", "item_b").join(counts[0], "item_a").join(counts[1], "item_b")
+    rarer_a = F.col("n_a") <= F.col("n_b")
+    rare = placed.select(
+        "item_a",
+        "item_b",
+        F.when(rarer_a, F.col("item_a")).otherwise(F.col("item_b")).alias("item"),
+        F.when(rarer_a, F.col("item_b")).otherwise(F.col("item_a")).alias("other"),
+    )
+    spread = rare.join(items.select("basket", "item"), "item").select("item_a", "item_b", "basket", "other")
+    return _count(spread.join(items.select("basket", F.col("item").alias("other")), ["basket", "other"]))
 
 
 def top_pairs(
@@ -61,24 +78,28 @@ def top_pairs(
 
     A pair occurs in no more baskets than either of its items. The n-th best count
     among the pairs of the most popular items is a lower limit for the true n-th
-    best, so items in fewer baskets than that can be left out before pairing.
+    best, so items in fewer baskets than that can be left out before pairing. The
+    popular items are doubled until they make n pairs.
     """
-    size = F.count("*").over(Window.partitionBy("basket"))
-    items = stage(distinct_items(lines, basket, item).withColumn("size", size), "items")
+    items = stage(with_sizes(stage(distinct_items(lines, basket, item), "distinct"), "size"), "items")
     popularity = stage(items.groupBy("item").agg(F.count("*").alias("baskets")), "popularity")
     known = stage(popularity.join(known_items.select(F.col(item).alias("item")), "item", "left_semi"), "known-items")
 
-    seeds = known.orderBy(F.desc("baskets"), "item").limit(seed_items).select("item")
-    seeded = items.join(F.broadcast(seeds), "item", "left_semi").select("basket", "item")
-    best = _count(_pairs(seeded, seeded, ["basket"])).orderBy(F.desc("baskets")).limit(top_n)
-    found, least = best.agg(F.count("*"), F.min("baskets")).first()
-    least = least if found == top_n else 1
+    least, all_items = 1, known.count()
+    while True:
+        seeds = known.orderBy(F.desc("baskets"), "item").limit(seed_items).select("item")
+        seeded = stage(items.join(seeds, "item", "left_semi").select("basket", "item"), "seeded")
+        best = pair_counts(seeded, large_basket).orderBy(F.desc("baskets")).limit(top_n)
+        found, worst = best.agg(F.count("*"), F.min("baskets")).first()
+        if found == top_n:
+            least = worst
+            break
+        if seed_items >= all_items:
+            break
+        seed_items *= 2
 
     kept = known.filter(F.col("baskets") >= least).select("item")
-    if kept.count() <= BROADCAST_ROWS:
-        kept_items = items.join(F.broadcast(kept), "item", "left_semi")
-    else:
-        kept_items = attach(items, kept, "item")
+    kept_items = items.join(kept, "item", "left_semi")
     small = kept_items.filter(F.col("size") <= large_basket).select("basket", "item")
     large = kept_items.filter(F.col("size") > large_basket).select("basket", "item")
     counts = _count(_pairs(small, small, ["basket"]))
@@ -97,7 +118,7 @@ def _add_large_baskets(small: DataFrame, large: DataFrame, least: int, large_bas
     """
     spread = stage(large.groupBy("item").agg(F.count("*").alias("large")), "large-items")
     often = spread.filter(F.col("large") >= least).select("item")
-    built = pair_counts(attach(large, often, "item"), large_basket)
+    built = pair_counts(large.join(often, "item", "left_semi").select("basket", "item"), large_basket)
 
     def of(side: str) -> DataFrame:
         return spread.select(F.col("item").alias(f"item_{side}"), F.col("large").alias(f"large_{side}"))
@@ -111,7 +132,7 @@ def _add_large_baskets(small: DataFrame, large: DataFrame, least: int, large_bas
         "open-pairs",
     )
     lookup = open_pairs.filter((F.col("_more") > 0) & (F.col("_more") < least))
-    parts = [open_pairs.select("item_a", "item_b", "baskets"), built, common_baskets(lookup, large)]
+    parts = [open_pairs.select("item_a", "item_b", "baskets"), built, common_baskets(lookup, large, spread.withColumnRenamed("large", "baskets"))]
     return (
         parts[0]
         .unionByName(parts[1])

@@ -19,7 +19,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     Large limits are checked on a sample in which such a key has 2,000 rows; half
     of that is enough to be listed, so none is missed, and a listed key holds
     about `hot_rows` / 2 rows or more. Hence there are at most some
-    2 * rows / hot_rows keys, and they may be broadcast. The sample only decides
+    2 * rows / hot_rows keys, read back from their staged table. The sample only decides
     how rows are spread; results do not depend on it.
     """
     fraction = min(1.0, _SAMPLED_HOT_ROWS / hot_rows)
@@ -27,8 +27,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     limit = hot_rows
     if fraction < 1.0:
         seen, limit = seen.sample(fraction, seed=7), _SAMPLED_HOT_ROWS // 2
-    hot = seen.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-    return None if hot.isEmpty() else stage(hot, "hot-keys")
+    hot = stage(seen.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys), "hot-keys")
+    return None if hot.isEmpty() else hot
 
 
 def matches(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -37,25 +37,9 @@ def matches(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of hot keys, all other rows); the hot keys travel by broadcast."""
+    """(rows of hot keys, all other rows). Adaptive execution sends the few hot keys to the rows."""
     condition = matches(df, hot, keys)
-    return (
-        df.join(F.broadcast(hot), condition, "left_semi"),
-        df.join(F.broadcast(hot), condition, "left_anti"),
-    )
-
-
-def attach(rows: DataFrame, per_key: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of many rows to a table with one row per key.
-
-    Rows of hot keys never move: their few partners are broadcast to them.
-    """
-    hot = hot_keys(rows, [key], hot_rows)
-    if hot is None:
-        return rows.join(per_key, key)
-    hot_side, cold_side = split_hot(rows, [key], hot)
-    partners = per_key.join(F.broadcast(hot), key, "left_semi")
-    return hot_side.join(F.broadcast(partners), key).unionByName(cold_side.join(per_key, key))
+    return df.join(hot, condition, "left_semi"), df.join(hot, condition, "left_anti")
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from .staging import stage
 
-ONE_TASK_ROWS = 500_000
 ROWS_PER_PARTITION = 5_000_000
 _SLOT_BITS = 33
 
@@ -45,37 +44,68 @@ def number_rows(
     )
 
 
-def bucket_of(row_number: Column, rows: int, buckets: int) -> Column:
-    """NTILE from a row number: the first `rows % buckets` buckets hold one row more."""
+Order = Sequence[tuple[str, bool]]
+
+
+def sorting(order: Order) -> list[Column]:
+    """Sort columns of (name, ascending) pairs; nulls first ascending, last descending."""
+    return [F.asc(name) if ascending else F.desc(name) for name, ascending in order]
+
+
+def bucket_starts(rows: int, buckets: int) -> list[int]:
+    """Row numbers at which NTILE's second and later buckets begin: the first `rows % buckets` hold one row more."""
     size, larger = divmod(rows, buckets)
-    in_larger = larger * (size + 1)
-    zero_based = row_number - 1
-    first = F.floor(zero_based / (size + 1)) + 1
-    if size == 0:
-        return first.cast("int")
-    rest = F.floor((zero_based - in_larger) / size) + larger + 1
-    return F.when(row_number <= in_larger, first).otherwise(rest).cast("int")
-
-
-def add_ntiles(
-    df: DataFrame,
-    tiles: Sequence[tuple[str, int, Sequence[Column]]],
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> DataFrame:
+    starts = [i * size + min(i, larger) + 1 for i in range(1, buckets)]
+    return [start for start in starts if start <= rows]
+
+
+def _stands_before(order: Order, cut: Row) -> Column:
+    """Whether a row comes before the cut row."""
+    before = F.lit(False)
+    for name, ascending in reversed(order):
+        value, at = F.col(name), F.lit(cut[name])
+        if cut[name] is None:
+            first = F.lit(False) if ascending else value.isNotNull()
+        elif ascending:
+            first = value.isNull() | (value < at)
+        else:
+            first = F.coalesce(value > at, F.lit(False))
+        before = first | (value.eqNullSafe(at) & before)
+    return before
+
+
+def _cut_rows(df: DataFrame, order: Order, buckets: int, rows: int) -> list[Row]:
+    """The first rows of the second and later buckets: located by the counts of sorted range partitions."""
+    narrow = df.select(*dict.fromkeys(name for name, _ in order))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_PARTITION)
+    columns = sorting(order)
+    slotted = stage(
+        narrow.repartitionByRange(parts, *columns).sortWithinPartitions(*columns).withColumn("_slot", F.monotonically_increasing_id()),
+        "sorted",
+    )
+    counts = slotted.groupBy(F.shiftright("_slot", _SLOT_BITS).alias("part")).count().collect()
+    slots, before = [], 0
+    starts = bucket_starts(rows, buckets)
+    for part, count in sorted(counts):
+        slots += [(part << _SLOT_BITS) + start - before - 1 for start in starts if before < start <= before + count]
+        before += count
+    return slotted.filter(F.col("_slot").isin(slots)).orderBy("_slot").collect() if slots else []
+
+
+def add_ntiles(df: DataFrame, tiles: Sequence[tuple[str, int, Order]]) -> DataFrame:
     """Add `NTILE(n) OVER (ORDER BY ...)` columns given as (name, n, total order).
 
-    The table is staged once to know its size. Up to `one_task_rows` the built-in
-    window runs in one task; beyond that rows are numbered by range partitions.
+    The table is staged once. Only the order columns are sorted by range, to find
+    the n - 1 rows at which buckets begin; every row is labelled by comparison
+    with those, so no row meets another one.
     """
     result = stage(df, "ntile")
     rows = result.count()
+    labels = {}
     for name, buckets, order in tiles:
-        if rows <= one_task_rows:
-            result = result.withColumn(name, F.ntile(buckets).over(Window.orderBy(*order)))
-        else:
-            numbered = number_rows(result, order, "_number", rows)
-            result = numbered.withColumn(name, bucket_of(F.col("_number"), rows, buckets)).drop("_number")
-    return result
+        cuts = _cut_rows(result, order, buckets, rows)
+        labels[name] = sum(((~_stands_before(order, cut)).cast("int") for cut in cuts), F.lit(1))
+    return result.withColumns(labels)
 
 
 def top_ranks(df: DataFrame, value: str, top_n: int, name: str) -> DataFrame:

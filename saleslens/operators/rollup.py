@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .staging import stage
 
-BROADCAST_ROWS = 1_000_000
-
 
 def rollup_by_attributes(
     facts: DataFrame,
@@ -50,7 +48,6 @@ def rollup_by_entity(
     attributes: Sequence[str],
     measures: Mapping[str, Column],
     distinct: Mapping[str, str],
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """One row per entity with measures and distinct counts of fact columns.
 
@@ -66,18 +63,17 @@ def rollup_by_entity(
     names = [*measures, *distinct]
 
     # A null key finds no partner here; it has no dimension row and is counted below.
-    per_key = facts.groupBy(key).agg(F.count("*").alias("_facts"), *aggregates)
-    for count in counts.values():
-        per_key = per_key.join(facts.groupBy(key).agg(count), key, "left")
-    per_key = stage(per_key.drop("_facts"), "per-key")
+    first, *others = ([aggregates] if aggregates else []) + [[count] for count in counts.values()]
+    per_key = facts.groupBy(key).agg(*first)
+    for count in others:
+        per_key = per_key.join(facts.groupBy(key).agg(*count), key, "left")
+    per_key = stage(per_key, "per-key")
     matched = per_key.join(details, key).select(*attributes, *names)
 
     lost = per_key.select(key).join(dimension.select(key), key, "left_anti").withColumnRenamed(key, "_lost")
-    found = lost.limit(broadcast_rows + 1).count()
-    if found == 0:
-        return matched
     lost = stage(lost, "lost-keys")
-    lost = F.broadcast(lost) if found <= broadcast_rows else lost
+    if lost.isEmpty():
+        return matched
     orphans = facts.join(lost, facts[key].eqNullSafe(lost["_lost"]), "left_semi").agg(*aggregates, *counts.values())
     types = dict((f.name, f.dataType) for f in details.schema)
     nulls = [F.lit(None).cast(types[a]).alias(a) for a in attributes]

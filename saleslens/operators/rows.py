@@ -27,3 +27,10 @@ def share_of_total(part: Column, digits: int = 2) -> Column:
     """Percentage of the sum over all rows. Use it on grouped rows only: the
     total meets in one task."""
     return percent(part, F.sum(part).over(Window.partitionBy()), digits)
+
+
+def as_view(df: DataFrame, view: str | None) -> DataFrame:
+    """`df`, registered under a name if one is given."""
+    if view:
+        df.createOrReplaceTempView(view)
+    return df

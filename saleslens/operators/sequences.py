@@ -66,8 +66,8 @@ def _in_slices(df, key, order, before, after, slice_rows):
     )
     joined = (
         numbered.withColumns({"_before": F.lag(left).over(window), "_after": F.lead(right).over(window)})
-        .join(F.broadcast(edge_before), "_slice", "left")
-        .join(F.broadcast(edge_after), "_slice", "left")
+        .join(edge_before, "_slice", "left")
+        .join(edge_after, "_slice", "left")
         .withColumns(
             {
                 "_before": F.coalesce("_before", "_edge_before"),

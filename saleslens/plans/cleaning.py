@@ -7,7 +7,9 @@ work on a streaming DataFrame as well.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
+from ..functions.dates import full_date
 from ..functions.labels import tidy_gender
 from ..operators.keys import drop_repeated_keys, latest_per_key
 
@@ -34,8 +36,8 @@ def _address_part(which: str) -> Column:
 
 
 def standardize_admission(df: DataFrame) -> DataFrame:
-    """Text to date; text that is no date becomes null."""
-    return df.withColumn("admission_date", F.col("admission_date").try_cast("date"))
+    """Text to date; text that is no full date becomes null."""
+    return df.withColumn("admission_date", full_date(F.col("admission_date")))
 
 
 def standardize_gender(df: DataFrame) -> DataFrame:
@@ -51,9 +53,15 @@ def fill_phone(df: DataFrame) -> DataFrame:
     return df.withColumn("phone_number", F.when(_phone_missing(), NO_PHONE).otherwise(F.col("phone_number")))
 
 
+def _admitted(df: DataFrame) -> Column:
+    """The admission as a date, whether it is one already or still a text."""
+    admission = F.col("admission_date")
+    return full_date(admission) if df.schema["admission_date"].dataType == StringType() else admission
+
+
 def newest_record(df: DataFrame) -> DataFrame:
     """One row per person: the newest admission, rows without a date last."""
-    newest = [F.col("admission_date").try_cast("date").desc_nulls_last(), F.asc("record_id")]
+    newest = [_admitted(df).desc_nulls_last(), F.asc("record_id")]
     return latest_per_key(df, PERSON, newest)
 
 
@@ -63,14 +71,14 @@ def patient_preview(tables: Tables) -> DataFrame:
 
 def patient_admission_date(tables: Tables) -> DataFrame:
     return _records(tables).select(
-        "record_id", "admission_date", F.col("admission_date").try_cast("date").alias("standardized_date")
+        "record_id", "admission_date", full_date(F.col("admission_date")).alias("standardized_date")
     )
 
 
 def rejected_admissions(tables: Tables) -> DataFrame:
-    """How many admission texts are present but are no date."""
+    """How many admission texts are present but are no full date."""
     text = F.col("admission_date")
-    return _records(tables).agg(F.count_if(text.isNotNull() & text.try_cast("date").isNull()).alias("rejected"))
+    return _records(tables).agg(F.count_if(text.isNotNull() & full_date(text).isNull()).alias("rejected"))
 
 
 def patient_gender_counts(tables: Tables) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.dates import as_date, days_between
 from ..functions.labels import above, first_match, position
 from ..functions.numbers import ROUNDING_TYPE, count_where, mean, percent, ratio, round_to, rounded_mean
-from ..operators.keys import HOT_ROWS, attach, latest_per_key
-from ..operators.ranking import ONE_TASK_ROWS, add_ntiles
-from ..operators.rows import metrics_to_rows
+from ..operators.keys import HOT_ROWS, latest_per_key
+from ..operators.ranking import add_ntiles
+from ..operators.rows import as_view, metrics_to_rows
 from ..operators.scores import rfm_segment, score_customers
 from ..operators.sequences import SLICE_ROWS, with_neighbours
 
@@ -36,7 +36,7 @@ def _share(condition: Column, digits: int) -> Column:
     return percent(count_where(condition), F.count("*"), digits)
 
 
-def fin_clv_quartiles(tables: Tables, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def fin_clv_quartiles(tables: Tables) -> DataFrame:
     """Customers in four spending quartiles with yearly value estimates."""
     spending = (
         _completed(tables)
@@ -54,9 +54,9 @@ def fin_clv_quartiles(tables: Tables, one_task_rows: int = ONE_TASK_ROWS) -> Dat
         .join(spending, "customer_id")
         .withColumn("estimated_annual_clv", yearly.cast(ROUNDING_TYPE))
     )
-    order = [F.desc("total_spent"), F.asc("customer_id")]
+    order = [("total_spent", False), ("customer_id", True)]
     return (
-        add_ntiles(customers, [("customer_value_segment", 4, order)], one_task_rows)
+        add_ntiles(customers, [("customer_value_segment", 4, order)])
         .groupBy("customer_value_segment")
         .agg(
             F.count("*").alias("customer_count"),
@@ -101,14 +101,22 @@ def fin_monthly_trend(tables: Tables) -> DataFrame:
     )
 
 
-def _with_zscores(tables: Tables, min_purchases: int, hot_rows: int) -> DataFrame:
+def _exact_spread(amount: str) -> Column:
+    """Population standard deviation from exact sums of cents, the same for every order of the rows."""
+    cents = (F.col(amount) * 100).cast("decimal(18,0)")
+    n, total, squares = F.count(amount), F.sum(cents), F.sum((cents * cents).cast("decimal(28,0)"))
+    varied = (n * squares).cast("decimal(38,0)") - (total * total).cast("decimal(38,0)")
+    return F.sqrt(varied.cast("double")) / n / 100
+
+
+def _with_zscores(tables: Tables, min_purchases: int) -> DataFrame:
     completed = _completed(tables)
     patterns = (
         completed.filter("transaction_type = 'purchase'")
         .groupBy("customer_id")
         .agg(
             mean(F.col("amount")).alias("avg_amount"),
-            F.stddev_pop(F.col("amount").cast("double")).alias("std_amount"),
+            _exact_spread("amount").alias("std_amount"),
             F.count("*").alias("_purchases"),
         )
         .filter(F.col("_purchases") >= min_purchases)
@@ -118,15 +126,15 @@ def _with_zscores(tables: Tables, min_purchases: int, hot_rows: int) -> DataFram
     z_score = ratio(F.col("amount").cast("double") - F.col("avg_amount"), F.col("std_amount"))
     levels = [(3, "High Anomaly"), (2, "Medium Anomaly")]
     return (
-        attach(completed, patterns, "customer_id", hot_rows)
+        completed.join(patterns, "customer_id")
         .withColumn("z_score", z_score)
         .withColumn("anomaly_level", above(F.abs("z_score"), levels, "Normal"))
     )
 
 
-def fin_zscore_rows(tables: Tables, min_purchases: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fin_zscore_rows(tables: Tables, min_purchases: int = 3) -> DataFrame:
     """Each completed transaction against its customer's usual purchase."""
-    return _with_zscores(tables, min_purchases, hot_rows).select(
+    return _with_zscores(tables, min_purchases).select(
         "transaction_id",
         "customer_id",
         "customer_name",
@@ -138,9 +146,9 @@ def fin_zscore_rows(tables: Tables, min_purchases: int = 3, hot_rows: int = HOT_
     )
 
 
-def fin_zscore_anomalies(tables: Tables, min_purchases: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fin_zscore_anomalies(tables: Tables, min_purchases: int = 3) -> DataFrame:
     return (
-        _with_zscores(tables, min_purchases, hot_rows)
+        _with_zscores(tables, min_purchases)
         .groupBy("anomaly_level")
         .agg(
             F.count("*").alias("transaction_count"),
@@ -151,7 +159,7 @@ def fin_zscore_anomalies(tables: Tables, min_purchases: int = 3, hot_rows: int =
     )
 
 
-def fin_rfm_scores(tables: Tables, as_of: dt.date, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def fin_rfm_scores(tables: Tables, as_of: dt.date) -> DataFrame:
     """Scores and segment of each customer with completed transactions."""
     activity = (
         _completed(tables)
@@ -163,12 +171,12 @@ def fin_rfm_scores(tables: Tables, as_of: dt.date, one_task_rows: int = ONE_TASK
         )
     )
     customers = tables["customers"].select(*CUSTOMER).join(activity, "customer_id")
-    return score_customers(customers, "customer_id", one_task_rows).withColumn("customer_segment", rfm_segment(4))
+    return score_customers(customers, "customer_id").withColumn("customer_segment", rfm_segment(4))
 
 
-def fin_rfm_segments(tables: Tables, as_of: dt.date, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def fin_rfm_segments(tables: Tables, as_of: dt.date) -> DataFrame:
     return (
-        fin_rfm_scores(tables, as_of, one_task_rows)
+        fin_rfm_scores(tables, as_of)
         .groupBy("customer_segment")
         .agg(
             F.count("*").alias("customer_count"),
@@ -406,7 +414,7 @@ def fin_customer_analytics(tables: Tables, view: str | None = None) -> DataFrame
         )
     )
     result = tables["customers"].select(*CUSTOMER, "credit_score").join(activity, "customer_id")
-    return _as_view(result, view)
+    return as_view(result, view)
 
 
 def fin_fraud_monitoring(tables: Tables, view: str | None = None) -> DataFrame:
@@ -425,13 +433,7 @@ def fin_fraud_monitoring(tables: Tables, view: str | None = None) -> DataFrame:
             above(F.col("amount"), bands, "Low Value").alias("value_category"),
         )
     )
-    return _as_view(result, view)
-
-
-def _as_view(df: DataFrame, view: str | None) -> DataFrame:
-    if view:
-        df.createOrReplaceTempView(view)
-    return df
+    return as_view(result, view)
 
 
 def fin_exec_summary(tables: Tables) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.labels import above, at_least, first_match, position
 from ..functions.numbers import ROUNDING_TYPE, percent, ratio, round_to, rounded_mean
 from ..operators.baskets import LARGE_BASKET, SEED_ITEMS, top_pairs
 from ..operators.journeys import reached_steps, session_paths
-from ..operators.ranking import ONE_TASK_ROWS, add_ntiles
+from ..operators.ranking import add_ntiles
 from ..operators.rows import metrics_to_rows, share_of_total
 from ..operators.scores import rfm_segment, score_customers
 from ..operators.sequences import HOT_TEXT_ROWS, TEXT_SLICE_ROWS
@@ -145,7 +145,7 @@ def _with_orders(tables: Tables, details: list[str], *measures: Column) -> DataF
     return tables["customers"].select("customer_id", *details).join(per_customer, "customer_id", "left")
 
 
-def journey_rfm_scores(tables: Tables, as_of: dt.date, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def journey_rfm_scores(tables: Tables, as_of: dt.date) -> DataFrame:
     """Scores and segment of every customer; 999 days where there is no order."""
     customers = _with_orders(
         tables,
@@ -162,15 +162,15 @@ def journey_rfm_scores(tables: Tables, as_of: dt.date, one_task_rows: int = ONE_
     )
     value = F.coalesce(ratio(F.col("monetary"), F.col("frequency")), F.lit(0.0))
     customers = customers.withColumn("avg_order_value", value.cast(ROUNDING_TYPE)).drop("_last", "_orders", "_spent")
-    return score_customers(customers, "customer_id", one_task_rows).withColumn("rfm_segment", rfm_segment(3))
+    return score_customers(customers, "customer_id").withColumn("rfm_segment", rfm_segment(3))
 
 
-def journey_rfm_clv(tables: Tables, as_of: dt.date, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def journey_rfm_clv(tables: Tables, as_of: dt.date) -> DataFrame:
     """Segments with a one-year value estimate and their share of all customers."""
     monetary, frequency = F.col("monetary"), F.col("frequency")
     predicted = ratio(F.sum(monetary), F.count(monetary)) * ratio(F.sum(frequency), F.count(frequency))
     return (
-        journey_rfm_scores(tables, as_of, one_task_rows)
+        journey_rfm_scores(tables, as_of)
         .groupBy("rfm_segment")
         .agg(
             F.count("*").alias("customer_count"),
@@ -272,8 +272,10 @@ def journey_churn(tables: Tables, as_of: dt.date) -> DataFrame:
     )
 
 
-def _engagement(tables: Tables, repeat_orders: bool, as_of: dt.date | None = None) -> DataFrame:
-    """Per customer: orders, spending and sessions.
+def _engagement(
+    tables: Tables, repeat_orders: bool, as_of: dt.date | None = None, sessions: bool = True
+) -> DataFrame:
+    """Per customer: orders, spending and, unless not asked for, sessions.
 
     Joining orders and page events of a customer side by side repeats each order
     once per event. `repeat_orders` gives exactly those sums by multiplying the
@@ -292,14 +294,14 @@ def _engagement(tables: Tables, repeat_orders: bool, as_of: dt.date | None = Non
         F.sum(F.when(recent, amount)).alias("recent_spent"),
         F.max("order_timestamp").alias("last_purchase_date"),
     )
-    visits = (
-        tables["page_events"]
-        .groupBy("customer_id")
-        .agg(F.count("*").alias("events"), F.countDistinct("session_id").alias("total_sessions"))
-    )
+    counts = [F.count("*").alias("events")] if repeat_orders else []
+    counts += [F.countDistinct("session_id").alias("total_sessions")] if sessions else []
+    if counts:
+        visits = tables["page_events"].groupBy("customer_id").agg(*counts)
+        customers = customers.join(visits, "customer_id", "left")
     zero = F.lit(0)
     copies = F.greatest(F.coalesce("events", zero), F.lit(1)) if repeat_orders else F.lit(1)
-    return customers.join(visits, "customer_id", "left").select(
+    return customers.select(
         "customer_id",
         "customer_name",
         "country",
@@ -309,7 +311,7 @@ def _engagement(tables: Tables, repeat_orders: bool, as_of: dt.date | None = Non
         (F.coalesce("amounts", zero) * copies).alias("amount_count"),
         (F.coalesce("spent", zero) * copies).alias("total_spent"),
         (F.coalesce("recent_spent", zero) * copies).alias("recent_spent"),
-        F.coalesce("total_sessions", zero).alias("total_sessions"),
+        *([F.coalesce("total_sessions", zero).alias("total_sessions")] if sessions else []),
         "last_purchase_date",
     )
 
@@ -327,17 +329,14 @@ def _tier_customers(tables: Tables, repeat_orders: bool) -> DataFrame:
     )
 
 
-def journey_tier_customers(
-    tables: Tables, repeat_orders: bool = True, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def journey_tier_customers(tables: Tables, repeat_orders: bool = True) -> DataFrame:
     """Every customer's tier with quartiles of spending and of order count."""
     return add_ntiles(
         _tier_customers(tables, repeat_orders),
         [
-            ("spending_quartile", 4, [F.desc("total_spent"), F.asc("customer_id")]),
-            ("frequency_quartile", 4, [F.desc("order_count"), F.asc("customer_id")]),
+            ("spending_quartile", 4, [("total_spent", False), ("customer_id", True)]),
+            ("frequency_quartile", 4, [("order_count", False), ("customer_id", True)]),
         ],
-        one_task_rows,
     ).drop("own_orders", "amount_count", "recent_spent")
 
 
@@ -363,7 +362,7 @@ def journey_tiers_fixed(tables: Tables) -> DataFrame:
 
 def journey_kpis(tables: Tables, as_of: dt.date, repeat_orders: bool = True) -> DataFrame:
     """Seven labelled figures; a converted session is a distinct order."""
-    totals = _engagement(tables, repeat_orders, as_of).agg(
+    totals = _engagement(tables, repeat_orders, as_of, sessions=False).agg(
         F.count("*").alias("customers"),
         F.count_if(F.col("own_orders") > 0).alias("buyers"),
         F.sum("own_orders").alias("orders"),

@@ -15,7 +15,7 @@ from ..functions.labels import first_match
 from ..functions.numbers import ROUNDING_TYPE, percent, ratio, round_to, whole_mean, whole_ratio
 from ..operators.ranking import top_ranks
 from ..operators.rollup import rollup_by_attributes, rollup_by_entity, sums
-from ..operators.rows import metrics_to_rows
+from ..operators.rows import as_view, metrics_to_rows
 
 Tables = dict[str, DataFrame]
 
@@ -407,13 +407,13 @@ def report_customers_fixed(tables: Tables, as_of: dt.date, view: str | None = No
         .alias("avg_order_value"),
         _per_month(),
     )
-    return _as_view(result, view)
+    return as_view(result, view)
 
 
 def report_customers(tables: Tables, as_of: dt.date, view: str | None = None) -> DataFrame:
     """The same, with the number of products under the name `lifespan`."""
     full = report_customers_fixed(tables, as_of)
-    return _as_view(full.drop("lifespan").withColumnRenamed("total_products", "lifespan"), view)
+    return as_view(full.drop("lifespan").withColumnRenamed("total_products", "lifespan"), view)
 
 
 def _per_month(name: str = "avg_monthly_spend") -> Column:
@@ -460,10 +460,4 @@ def report_products(tables: Tables, as_of: dt.date, view: str | None = None) ->
         .alias("avg_order_revenue"),
         _per_month("avg_monthly_revenue"),
     )
-    return _as_view(result, view)
-
-
-def _as_view(df: DataFrame, view: str | None) -> DataFrame:
-    if view:
-        df.createOrReplaceTempView(view)
-    return df
+    return as_view(result, view)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..operators.staging import stage
@@ -25,6 +26,15 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, mode: str = "FA
     )
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Write an extract that `read_csv` reads: a header line, no quoting. Null and empty texts are both empty
+    fields, which are read as null. A text that holds a comma or a line break has no place in it and is an error."""
+    texts = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, StringType)]
+    unfit = reduce(lambda a, b: a | b, [F.coalesce(c.rlike("[,\\r\\n]"), F.lit(False)) for c in texts], F.lit(False))
+    checked = df.filter(F.when(unfit, F.raise_error(F.lit("a text holds a comma or a line break"))).otherwise(F.lit(True)))
+    checked.write.option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+
+
 def rejected_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Lines that do not fit the schema, with the text as it was read.
 

@@ -22,6 +22,7 @@ def frame(spark):
 
 
 def plan_of(df) -> str:
+    """The physical plan; scans are named by their schema, as paths may be cut."""
     return df._jdf.queryExecution().executedPlan().toString()
 
 

@@ -15,13 +15,13 @@ def day(text):
 @pytest.fixture
 def extracts(spark):
     products = [
-        (210, "CO-RF-FR-R92B-58", "Road Frame", None, "R ", day("2003-07-01"), None),
-        (212, "AC-HE-HL-U509-R", "Helmet", 12, "S ", day("2011-07-01"), day("2007-12-28")),
-        (213, "AC-HE-HL-U509-R", "Helmet", 14, "S ", day("2012-07-01"), day("2008-12-27")),
-        (214, "AC-HE-HL-U509-R", "Helmet", 13, "S ", day("2013-07-01"), None),
-        (300, "CO-PE-PD-M282", "Pedal", 9, None, day("2013-07-01"), None),
+        (1, "AA-BB-TENT-1", "Tent", None, "R ", day("2001-02-03"), None),
+        (2, "CC-DD-LAMP-7", "Lamp", 20, "S ", day("2005-01-10"), day("2002-01-01")),
+        (3, "CC-DD-LAMP-7", "Lamp", 22, "S ", day("2006-01-10"), day("2003-01-01")),
+        (4, "CC-DD-LAMP-7", "Lamp", 21, "S ", day("2007-01-10"), None),
+        (5, "EE-FF-ROPE-3", "Rope", 8, None, day("2007-01-10"), None),
     ]
-    categories = [("AC_HE", "Accessories", "Helmets", "Yes"), ("CO_RF", "Components", "Road Frames", "Yes")]
+    categories = [("CC_DD", "Light", "Lamps", "Yes"), ("AA_BB", "Camp", "Tents", "Yes")]
     return {
         "crm_prd_info": spark.createDataFrame(products, schemas.CRM_PRD_INFO),
         "erp_px_cat": spark.createDataFrame(categories, schemas.ERP_PX_CAT),
@@ -31,28 +31,28 @@ def extracts(spark):
 def test_build_dim_products(extracts):
     got = [tuple(r) for r in catalog.build_dim_products(extracts).orderBy("product_key").collect()]
     assert got == [
-        (1, 210, "FR-R92B-58", "Road Frame", "CO_RF", "Components", "Road Frames", "Yes", 0, "Road", day("2003-07-01")),
-        (2, 214, "HL-U509-R", "Helmet", "AC_HE", "Accessories", "Helmets", "Yes", 13, "Other Sales", day("2013-07-01")),
-        (3, 300, "PD-M282", "Pedal", "CO_PE", None, None, None, 9, "n/a", day("2013-07-01")),
+        (1, 1, "TENT-1", "Tent", "AA_BB", "Camp", "Tents", "Yes", 0, "Road", day("2001-02-03")),
+        (2, 4, "LAMP-7", "Lamp", "CC_DD", "Light", "Lamps", "Yes", 21, "Other Sales", day("2007-01-10")),
+        (3, 5, "ROPE-3", "Rope", "EE_FF", None, None, None, 8, "n/a", day("2007-01-10")),
     ]
 
 
 @pytest.mark.parametrize("hot_rows", [1, 100])
 def test_versions_end_before_the_next(extracts, hot_rows):
     got = dict(values(catalog.product_versions(extracts, hot_rows=hot_rows, slice_rows=2), "prd_id", "prd_end_dt"))
-    assert got == {210: None, 212: day("2012-06-30"), 213: day("2013-06-30"), 214: None, 300: None}
+    assert got == {1: None, 2: day("2006-01-09"), 3: day("2007-01-09"), 4: None, 5: None}
 
 
 def test_conformed_categories(extracts):
-    loaded = dt.datetime(2024, 12, 30, 14, 6, 37, 180000)
+    loaded = dt.datetime(2020, 2, 3, 4, 5, 6, 700000)
     got = catalog.conform_categories(extracts, loaded)
     assert {r.dwh_create_date for r in got.collect()} == {loaded}
     assert values(got.drop("dwh_create_date")) == values(extracts["erp_px_cat"])
 
 
 def test_report_check_finds_each_violation(spark):
-    good = (3, "a", "b", "c", 1, day("2011-12-27"), 157, "High-Performer", 11, 49, 165375, 49, 49, 3375.0, 3375, 15034)
-    bad = (4, "a", "b", "c", 1, day("2011-12-27"), 156, "Mid-Range", 0, 0, 50001, 49, 49, 1.0, 5, 7)
+    good = (3, "a", "b", "c", 1, day("2020-01-20"), 60, "High-Performer", 10, 20, 60000, 20, 20, 3000.0, 3000, 6000)
+    bad = (4, "a", "b", "c", 1, day("2020-01-20"), 59, "Mid-Range", 0, 0, 50001, 20, 20, 1.0, 5, 7)
     report = spark.createDataFrame([good, bad], schemas.REPORT_PRODUCTS)
     assert dict(values(catalog.check_report_products(report, dt.date(2025, 1, 1)))) == {
         "product_segment": 1,

@@ -34,6 +34,19 @@ def test_admission_dates(tables):
     assert cleaning.rejected_admissions(tables).first().rejected == 1
 
 
+@pytest.mark.parametrize("text, day", [
+    ("2024-01-31", "2024-01-31"), ("2024/01/31", "2024-01-31"), ("20240131", "2024-01-31"), (" 2024-1-5 ", "2024-01-05"),
+    ("2024-01-31 08:30:00", "2024-01-31"), ("2024-01-31T08:30", "2024-01-31"), ("2024", None), ("2024-05", None),
+    ("+2024", None), ("2024-01-31 garbage", None), ("2024-02-30", None), ("20241301", None), ("", None), ("n/a", None),
+])
+def test_only_full_dates_count(frame, text, day):
+    tables = {"patient_records": frame([(1, 1, "a", "b", BORN, text, None, None, None)], PATIENTS)}
+    row = cleaning.patient_admission_date(tables).first()
+    assert row.standardized_date == (dt.date.fromisoformat(day) if day else None)
+    assert cleaning.rejected_admissions(tables).first().rejected == (day is None)
+    assert cleaning.patient_clean(tables).first().admission_date == row.standardized_date
+
+
 def test_gender(tables):
     got = dict(values(cleaning.patient_gender_std(tables), "record_id", "gender"))
     assert [got[i] for i in range(1, 9)] == ["Female"] * 3 + ["Male", "Unknown", "Unknown", "Male", "Male"]

@@ -62,9 +62,12 @@ def test_zscore_without_spread_is_normal(make):
     assert {(r.z_score, r.anomaly_level) for r in rows} == {(None, "Normal")}
 
 
-def test_zscore_same_with_hot_customer(make):
+def test_zscore_same_for_every_partitioning(make):
     tables = make([move(i, 1 + i % 2, 100 + i * i % 50, at(1 + i % 20)) for i in range(60)])
-    assert values(finance.fin_zscore_rows(tables, hot_rows=10)) == values(finance.fin_zscore_rows(tables))
+    plain = values(finance.fin_zscore_rows(tables))
+    for parts in (1, 2, 3, 5, 7):
+        moved = tables | {"financial_transactions": tables["financial_transactions"].repartition(parts)}
+        assert values(finance.fin_zscore_rows(moved)) == plain
 
 
 def test_sequences(make):
@@ -117,12 +120,6 @@ def test_clv_without_lifetime_has_no_yearly_value(make):
     assert [tuple(r) for r in got] == [(1, 1, 36.0, 1314.0, 2.0), (2, 1, 10.0, None, 1.0)]
 
 
-def test_clv_same_over_partitions(make):
-    customers = [(i, f"c{i}", "low", 1) for i in range(30)]
-    tables = make([move(i, i % 30, i % 7 + 1, at(1 + i % 20)) for i in range(200)], customers)
-    assert values(finance.fin_clv_quartiles(tables, one_task_rows=0)) == values(finance.fin_clv_quartiles(tables))
-
-
 def test_rfm(make):
     customers = [(i, f"c{i}", "low", 1) for i in range(3)]
     tables = make([move(i, i, 10, at(5)) for i in range(3)], customers)

@@ -116,15 +116,6 @@ def test_rfm(make):
     assert [(r.customer_count, r.predicted_clv_1yr, r.segment_percentage) for r in clv] == [(2, 7.5, 100.0)]
 
 
-def test_rfm_same_over_partitions(make):
-    customers = [(i, "2024-01-01") for i in range(40)]
-    orders = [(i, i % 30, f"2024-0{1 + i % 4}-10", i % 9) for i in range(200)]
-    tables = make(customers, orders)
-    assert values(journey.journey_rfm_scores(tables, AS_OF, one_task_rows=0)) == values(
-        journey.journey_rfm_scores(tables, AS_OF)
-    )
-
-
 def test_affinity(make):
     items = [(o, p) for o in range(10) for p in (1, 2)] + [(0, 1), (0, 3), (20, 3), (21, 9), (21, 1)]
     items += [(30 + i, 3) for i in range(8)]
@@ -202,8 +193,6 @@ def test_tiers(mixed):
     tiers = [tuple(r) for r in journey.journey_tiers(mixed).collect()]
     assert [t[0] for t in tiers] == ["Bronze", "Lead"]
     assert [t[0] for t in journey.journey_tiers_fixed(mixed).collect()] == ["Lead"]
-    same = journey.journey_tier_customers(mixed, one_task_rows=0)
-    assert values(same, *sorted(same.columns)) == values(journey.journey_tier_customers(mixed), *sorted(same.columns))
 
 
 def test_kpis(mixed):

@@ -7,8 +7,8 @@ from pyspark.sql import Window, functions as F
 
 from saleslens.operators import staging
 from saleslens.operators.baskets import common_baskets, distinct_items, pair_counts, top_pairs
-from saleslens.operators.keys import attach, drop_repeated_keys, hot_keys, latest_per_key
-from saleslens.operators.ranking import add_ntiles, number_rows, top_ranks
+from saleslens.operators.keys import drop_repeated_keys, hot_keys, latest_per_key
+from saleslens.operators.ranking import add_ntiles, number_rows, sorting, top_ranks
 from saleslens.operators.rollup import rollup_by_attributes, rollup_by_entity, sums
 from saleslens.operators.rows import metrics_to_rows, share_of_total
 from saleslens.operators.sequences import joined_texts, with_neighbours
@@ -44,22 +44,20 @@ def test_number_rows_uses_more_partitions_for_known_large_tables(frame, monkeypa
 
 @pytest.mark.parametrize("rows", [0, 1, 3, 7, 101])
 @pytest.mark.parametrize("buckets", [4, 5, 7])
-def test_ntile_over_partitions_equals_window(frame, rows, buckets):
-    df = frame(skewed(rows), SKEWED)
-    tiles = [("t", buckets, [F.asc("moment"), F.asc("id")])]
-    assert values(add_ntiles(df, tiles, one_task_rows=0), "id", "t") == values(add_ntiles(df, tiles), "id", "t")
+@pytest.mark.parametrize("order", [[("moment", True), ("id", True)], [("value", False), ("moment", False), ("id", True)], [("value", True), ("id", False)]])
+def test_ntile_equals_window(frame, rows, buckets, order):
+    df = frame(skewed(rows), SKEWED).repartition(3)
+    expected = df.withColumn("t", F.ntile(buckets).over(Window.orderBy(*sorting(order))))
+    assert values(add_ntiles(df, [("t", buckets, order)]), "id", "t") == values(expected, "id", "t")
 
 
 def test_several_ntiles(frame):
     df = frame(skewed(50), SKEWED)
-    tiles = [("a", 4, [F.desc("moment"), F.asc("id")]), ("b", 5, [F.asc("value"), F.asc("id")])]
-    assert values(add_ntiles(df, tiles, one_task_rows=0), "id", "a", "b") == values(add_ntiles(df, tiles), "id", "a", "b")
-
-
-def test_ntile_beyond_limit_has_no_window_over_rows(frame):
-    large = add_ntiles(frame(skewed(50), SKEWED), [("t", 4, [F.asc("id")])], one_task_rows=10)
-    windows = [line for line in plan_of(large).splitlines() if "Window [" in line]
-    assert len(windows) == 1 and "_part" in windows[0]
+    tiles = [("a", 4, [("moment", False), ("id", True)]), ("b", 5, [("value", True), ("id", True)])]
+    windows = {name: F.ntile(n).over(Window.orderBy(*sorting(order))) for name, n, order in tiles}
+    got = add_ntiles(df, tiles)
+    assert values(got, "id", "a", "b") == values(df.withColumns(windows), "id", "a", "b")
+    assert not any(word in plan_of(got) for word in ("Window", "Exchange"))
 
 
 def test_top_ranks_keep_ties(frame):
@@ -81,14 +79,6 @@ def test_hot_keys_on_a_sample(spark):
     assert values(hot_keys(df, ["key"], 50_000)) == [(0,)]
 
 
-def test_attach_with_hot_key(frame):
-    rows = frame(skewed(), SKEWED)
-    partners = frame([("hot", 1), ("k1", 2), ("k99", 3)], "key string, weight int")
-    plain = values(rows.join(partners, "key"), "id", "key", "weight")
-    assert values(attach(rows, partners, "key", hot_rows=100), "id", "key", "weight") == plain
-    assert values(attach(rows, partners, "key"), "id", "key", "weight") == plain
-
-
 def test_latest_per_key_prunes_before_the_shuffle(frame):
     df = frame(skewed(), SKEWED)
     latest = latest_per_key(df, ["key"], [F.desc("moment"), F.asc("id")])
@@ -200,10 +190,33 @@ def test_huge_basket_builds_no_pairs_of_its_own(frame):
 
 def test_common_baskets(frame):
     items = distinct_items(frame(baskets(), "b int, i int"), "b", "i")
+    popularity = items.groupBy("item").agg(F.count("*").alias("baskets"))
     pairs = frame([(1, 2), (3, 9), (28, 29)], "item_a int, item_b int")
     by_hand = pairs_by_hand(baskets())
     expected = [(a, b, by_hand[a, b]) for a, b in [(1, 2), (3, 9), (28, 29)] if by_hand[a, b]]
-    assert values(common_baskets(pairs, items), "item_a", "item_b", "baskets") == sorted(expected, key=repr)
+    assert values(common_baskets(pairs, items, popularity), "item_a", "item_b", "baskets") == sorted(expected, key=repr)
+
+
+def test_common_baskets_spread_the_rarer_item(frame):
+    """One item in every basket, its partners in one each: as many rows as partners."""
+    lines = [(b, 1) for b in range(300)] + [(b, 1000 + b) for b in range(50)]
+    items = frame(lines, "basket int, item int")
+    popularity = items.groupBy("item").agg(F.count("*").alias("baskets"))
+    pairs = frame([(1, 1000 + b) for b in range(50)], "item_a int, item_b int")
+    got = common_baskets(pairs, items, popularity)
+    assert values(got) == sorted(((1, 1000 + b, 1) for b in range(50)), key=repr)
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS other" in text and "(n_a" in text
+
+
+def test_seeds_grow_until_they_make_pairs(frame):
+    """Popular items that never meet do not open the count to all pairs."""
+    lines = [(1000 * i + n, i) for i in range(20) for n in range(10)]  # popular, alone in their baskets
+    lines += [(10**6 + 10 * p + n, i) for p in range(15) for n in range(3) for i in (100 + 2 * p, 101 + 2 * p)]
+    lines += [(2 * 10**6 + p, i) for p in range(200) for i in (500 + 2 * p, 501 + 2 * p)]
+    known = frame([(i,) for i in {i for _, i in lines}], "i int")
+    got, _ = top_pairs(frame(lines, "b int, i int"), "b", "i", known, top_n=15, seed_items=20)
+    assert len(values(got)) == 15 and {r.baskets for r in got.collect()} == {3}
 
 
 FACTS = [("p1", "o1", 10), ("p1", "o1", 5), ("p2", "o1", 1), ("lost1", "o9", 7), ("lost2", "o9", 8), (None, "o8", 1)]
@@ -216,12 +229,11 @@ def test_rollup_by_attributes_keeps_orphans_in_one_group(frame):
     assert values(got) == [("x", 16), (None, 16)]
 
 
-@pytest.mark.parametrize("broadcast_rows", [1, 100])
-def test_rollup_by_entity_counts_distinct_over_all_orphans(frame, broadcast_rows):
+def test_rollup_by_entity_counts_distinct_over_all_orphans(frame):
     facts = frame(FACTS, "k string, o string, v int")
     dimension = frame([("p1", "x"), ("p2", "y"), ("p3", "z")], "k string, a string")
     measures, distinct = {"total": F.sum("v")}, {"orders": "o", "amounts": "v"}
-    got = rollup_by_entity(facts, "k", dimension, ["k", "a"], measures, distinct, broadcast_rows)
+    got = rollup_by_entity(facts, "k", dimension, ["k", "a"], measures, distinct)
     joined = facts.join(dimension, "k", "left").select(F.when(F.col("a").isNotNull(), F.col("k")).alias("k"), "a", "o", "v")
     expected = joined.groupBy("k", "a").agg(
         F.sum("v").alias("total"), F.countDistinct("o").alias("orders"), F.countDistinct("v").alias("amounts")
@@ -262,11 +274,6 @@ class FakeSession:
             return default
 
 
-def test_no_local_folder_on_a_cluster():
-    with pytest.raises(ValueError):
-        staging.shared_folder(FakeSession())
-
-
 def test_stage_keeps_rows_and_types(frame):
     df = frame(skewed(20), SKEWED)
     assert values(staging.stage(df)) == values(df)
@@ -281,4 +288,10 @@ def test_stage_uses_the_folder_the_cluster_names():
                 return {"spark.checkpoint.dir": "/shared/checkpoints/"}.get(key, default)
 
     assert staging.shared_folder(Named()) == "/shared/checkpoints"
-    assert staging.new_path(Named(), "x").startswith("/shared/checkpoints/saleslens/app/x-")
+
+
+def test_stage_uses_the_warehouse_without_such_a_folder(spark):
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        assert staging.shared_folder(spark) == f"{spark.conf.get('spark.sql.warehouse.dir')}/staged"
+    folder = f"{staging.shared_folder(spark)}/saleslens/{spark.sparkContext.applicationId}"
+    assert staging.new_path(spark, "x").startswith(f"{folder}/x-")

@@ -141,7 +141,7 @@ def test_job(world, group, module, sql, name, parameters):
 
 
 # Limits so low that hot keys, range partitions and large baskets occur.
-LOW_LIMITS = {"hot_rows": 12, "slice_rows": 5, "one_task_rows": 3, "large_basket": 3, "seed_items": 200}
+LOW_LIMITS = {"hot_rows": 12, "slice_rows": 5, "large_basket": 3, "seed_items": 200}
 
 
 def low_limits(job):
