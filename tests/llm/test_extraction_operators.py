@@ -168,7 +168,7 @@ def test_copied_articles_are_kept_whole(frame):
 
 
 def test_repeated_branches_of_unmarked_pages_go(frame):
-    html = "<body><div class=top>Same <b>line</b></div><div class=body><p>Own words {0}</p><p>and more {0}</p></div><div class=end>Same end</div>"
+    html = "<body><div class=top>Same <b>line</b></div><ul><li><a href=x>to {0}</a><li><a>and {0}</a></ul><div class=body><p>Own words {0}</p><p>and more {0}</p></div><div class=end>Same end</div>"
     rows = [(i, f"http://One.b/{i}", html.format(i)) for i in range(12)] + [(100, "http://two.b/", html.format("x"))]
     found = page_texts(frame, rows)
     assert all(found[i].text == f"Own words {i}\nand more {i}" for i in range(12))
