@@ -173,17 +173,28 @@ def _terms(text: Column, length: int) -> Column:
 def _disclosures(held: DataFrame, docs: DataFrame, rule: DisclosureRule) -> DataFrame:
     """`entity` and its `terms` (`term`, `disclosure`) from `rule.generalise` on, one row for each value.
 
-    `held` has `entity`, `context`. Copies of a context count once, by its hash.
+    `held` has `_key`, `entity`, `context`. Copies of a context count once, by its hash.
     """
-    contexts = held.select("entity", "context", F.xxhash64("context").alias("which")).distinct()
-    counted = stage(contexts, "contexts")
+    known = held.withColumn("term", F.array_distinct(_terms(F.col("context"), rule.term_length)))
+    known = stage(known.select("_key", "entity", F.xxhash64("context").alias("which"), "term"), "contexts")
+    counted = stage(known.dropDuplicates(["entity", "which"]), "distinct-contexts")
+    values = stage(counted.groupBy("entity").agg(F.count("*").alias("with_value")), "values")
+    total = float(max(docs.count(), 2))
+    n = F.lit(total)
+    # A term of as many documents as this, or more, can't reach the threshold; it is in as many at least as have it
+    # in some context. So frequent words are left out before all texts are searched for the others.
+    most = F.col("together") * F.pow(n / F.col("with_value"), F.lit(1 - rule.generalise)) * (1 + 1e-9)
+    near = known.select("_key", F.explode("term").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("near"))
     pairs = (
-        counted.select("entity", F.explode(F.array_distinct(_terms(F.col("context"), rule.term_length))).alias("term"))
+        counted.select("entity", F.explode("term").alias("term"))
         .groupBy("entity", "term")
         .agg(F.count("*").alias("together"))
         .filter(F.col("together") >= rule.support)
+        .join(near, "term")
+        .join(values, "entity")
+        .filter(F.col("near") <= most)
     )
-    pairs = stage(pairs, "co-occurrence")
+    pairs = stage(pairs.select("entity", "term", "together", "with_value"), "co-occurrence")
     wanted = stage(pairs.select("term").distinct(), "terms")
     whole = docs.select(F.explode(F.array_distinct(_terms(F.col("text"), rule.term_length))).alias("term"))
     few = wanted.count() <= BROADCAST_IDS
@@ -192,13 +203,10 @@ def _disclosures(held: DataFrame, docs: DataFrame, rule: DisclosureRule) -> Data
         .groupBy("term")
         .agg(F.count("*").alias("with_term"))
     )
-    values = counted.groupBy("entity").agg(F.count("*").alias("with_value"))
-    n = F.lit(float(max(docs.count(), 2)))
     surprise = F.log2(n / F.col("with_value"))
     shared = F.log2(n * F.col("together") / (F.col("with_value") * F.col("with_term")))
     return (
         pairs.join(spread, "term")
-        .join(values, "entity")
         .withColumn("disclosure", F.when(surprise > 0, F.least(shared / surprise, F.lit(1.0))).otherwise(0.0))
         .filter(F.col("disclosure") >= rule.generalise)
         .groupBy("entity")
