@@ -18,6 +18,7 @@ from ..operators.ranking import add_ntiles
 from ..operators.rows import as_view, metrics_to_rows
 from ..operators.scores import rfm_segment, score_customers
 from ..operators.sequences import SLICE_ROWS, with_neighbours
+from ..operators.staging import stage
 
 Tables = dict[str, DataFrame]
 
@@ -110,6 +111,8 @@ def _exact_spread(amount: str) -> Column:
 
 
 def _with_zscores(tables: Tables, min_purchases: int) -> DataFrame:
+    """The patterns are staged, so both sides of the last join are plain shuffles and adaptive execution can
+    split a customer with many transactions."""
     completed = _completed(tables)
     patterns = (
         completed.filter("transaction_type = 'purchase'")
@@ -126,7 +129,7 @@ def _with_zscores(tables: Tables, min_purchases: int) -> DataFrame:
     z_score = ratio(F.col("amount").cast("double") - F.col("avg_amount"), F.col("std_amount"))
     levels = [(3, "High Anomaly"), (2, "Medium Anomaly")]
     return (
-        completed.join(patterns, "customer_id")
+        completed.join(stage(patterns, "usual-purchases"), "customer_id")
         .withColumn("z_score", z_score)
         .withColumn("anomaly_level", above(F.abs("z_score"), levels, "Normal"))
     )

@@ -101,3 +101,18 @@ def test_bad_lines_stop_the_load_and_can_be_listed(spark, tmp_path):
     rejected = csv_tables.rejected_lines(spark, path, schemas.FACT_SALES)
     assert [r[csv_tables.REJECT] for r in rejected.collect()] == [bad]
     assert csv_tables.rejected_lines(spark, write(tmp_path, "g.csv", LINES), schemas.FACT_SALES).count() == 0
+
+
+def test_extracts_keep_quotes_and_read_empty_texts_as_null(spark, tmp_path):
+    rows = [(1, 'Bolt "L"', "x y", 5), (2, "", None, None), (3, "it's; 50%", "#", 7)]
+    df = spark.createDataFrame(rows, "k int, a string, b string, n int")
+    csv_tables.write_csv(df, str(tmp_path / "extract"))
+    stored = csv_tables.load_tables(spark, {"t": str(tmp_path / "extract")}, str(tmp_path / "gold"), {"t": df.schema})["t"]
+    assert values(stored) == [(1, 'Bolt "L"', "x y", 5), (2, None, None, None), (3, "it's; 50%", "#", 7)]
+
+
+@pytest.mark.parametrize("text", ["a,b", "a\nb"])
+def test_extracts_have_no_place_for_separators(spark, tmp_path, text):
+    df = spark.createDataFrame([(1, text)], "k int, a string")
+    with pytest.raises(Exception, match="comma or a line break"):
+        csv_tables.write_csv(df, str(tmp_path / "extract"))

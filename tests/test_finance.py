@@ -5,7 +5,7 @@ import pytest
 
 from saleslens.plans import finance
 
-from conftest import values
+from conftest import plan_of, values
 
 TRANSACTIONS = (
     "transaction_id long, customer_id long, amount decimal(20,2), transaction_date timestamp_ntz, "
@@ -70,6 +70,30 @@ def test_zscore_same_for_every_partitioning(make):
         assert values(finance.fin_zscore_rows(moved)) == plain
 
 
+def test_a_hot_customer_is_split(spark, make):
+    customers = [(i, f"c{i}", "low", 1) for i in range(200)]
+    tables = make([move(i, 7 if i % 2 else i % 200, 100 + i % 50, at(1 + i % 20)) for i in range(6000)], customers)
+    moves = tables["financial_transactions"].repartition(8)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        rows = finance.fin_zscore_rows(tables | {"financial_transactions": moves})
+        assert len(rows.collect()) == 6000
+        assert "skew=true" in plan_of(rows)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_sequences(make):
     kinds = ["purchase", "transfer", "deposit", "purchase", "transfer", "deposit"]
     moves = [move(10 - i, 1, 10 * i, at(2 * i + 1), kind=k) for i, k in enumerate(kinds)]
