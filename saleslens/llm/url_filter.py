@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.staging import stage
 from .components import connected_components
 
 #: More rules than this do not belong in one expression.
@@ -161,7 +162,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     Repeated rows are judged alike; other columns stay, but for those of the
     four names, which are replaced.
     """
-    links = page_links(pages)
+    links = stage(page_links(pages), "links")
     if redirects is not None:
         links = links.unionByName(redirects.select("source", "target"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
