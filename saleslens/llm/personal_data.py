@@ -314,10 +314,15 @@ def span_texts(spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, rule: DisclosureRule = DisclosureRule(), text: str = "text") -> DataFrame:
-    """`docs` with the sanitised text in place of the text, all columns as before; `n_chars` follows, if there."""
-    found = find_personal_data(docs, rule, text)
-    after = {text: F.col("sanitised")}
-    if "n_chars" in docs.columns:
-        changed = F.size("spans") > 0
-        after["n_chars"] = F.when(changed, F.length("sanitised").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(after).select(*(f"`{c}`" for c in docs.columns))
+    """`docs` with the sanitised text in place of the text, all columns as before; `n_chars` follows, if there.
+
+    The other columns travel packed, so none of their names can clash.
+    """
+    others = [c for c in docs.columns if c != text]
+    packed = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    found = find_personal_data(docs.select(F.col(f"`{text}`").alias("text"), packed.alias("others")), rule)
+    after = {c: F.col(f"others.c{i}") for i, c in enumerate(others)} | {text: F.col("sanitised")}
+    if "n_chars" in others:
+        length = F.length("sanitised").cast(docs.schema["n_chars"].dataType)
+        after["n_chars"] = F.when(F.size("spans") > 0, length).otherwise(after["n_chars"])
+    return found.select(*(after[c].alias(c) for c in docs.columns))

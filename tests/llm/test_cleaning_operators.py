@@ -151,6 +151,16 @@ def test_near_copies_of_edge_rows(edges, nothing):
     assert near_copies.drop_near_copies(nothing).count() == 0
 
 
+def test_ids_of_other_types(frame):
+    """Whole ids of any width come back as long."""
+    docs = frame([(1, "a b c d e f g"), (2, "A b c d e f g")], "doc_id int, text string")
+    assert {(r.doc_id, r.component_id) for r in near_copies.near_copies(docs).collect()} == {(1, 1), (2, 1)}
+    labels = frame([(1, 1), (2, 0)], "doc_id int, toxic int")
+    assert toxicity.score(docs, labels).dtypes[0] == ("doc_id", "bigint") and toxicity.score(docs, labels).count() == 2
+    found = decontamination.find_leaks(docs, frame([(1, "b c d e")], "item_id int, text string")).collect()
+    assert {r.doc_id for r in found} == {1, 2}
+
+
 # toxicity
 
 
@@ -375,4 +385,7 @@ def test_sanitising_edge_rows(frame, edges, nothing):
     changed = personal_data.sanitise(frame([(1, "to a@b.cd", "en", "x", 9)], SCHEMA)).first()
     assert (changed.text, changed.n_chars) == ("to [EMAIL]", 10)
     assert personal_data.sanitise(nothing).count() == 0
+    clashing = frame([(1, "to a@b.cd", "x", 5, "y", None)], "row int, text string, spans string, _all int, `a.b` string, entity string")
+    assert tuple(personal_data.sanitise(clashing).first()) == (1, "to [EMAIL]", "x", 5, "y", None)
+    assert tuple(personal_data.sanitise(clashing.select("text")).first()) == ("to [EMAIL]",)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")  # the digest of a text without spans
