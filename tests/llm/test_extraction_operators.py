@@ -162,6 +162,14 @@ def test_marked_article(frame):
     assert (found[2].text, found[3].text, found[4].text) == ("", "", "plain <text")
 
 
+def test_names_tell_what_a_branch_is(frame):
+    html = (
+        '<body class="has-sidebar"><div class="wrap with-sidebar"><div id="top-nav">no</div><article class="post"><p>yes</p>'
+        '<div class="share-bar">no</div></article><article class="comment">no</article><div class="related"><article>no</article></div></div>'
+    )
+    assert page_texts(frame, [(1, "http://a.b/c", html)])[1].text == "yes"
+
+
 def test_copied_articles_are_kept_whole(frame):
     found = page_texts(frame, [(i, "http://a.b/c", PAGE) for i in range(20)])
     assert {r.text for r in found.values()} == {"Head & line\nOne two three\ncafé A B\nfirst\nsecond"}
