@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .words import bound_batches
+
 # Fixed value: the pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same pattern for texts of common signs and Latin letters only, which the standard module cuts faster.
@@ -27,8 +29,10 @@ _LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _LATIN_TEXT = re.compile(rf"[\t\n\r\x20-\x7e{_LATIN}]*")
 _LATIN_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
 #: Characters of texts that are encoded together, and pieces remembered between batches.
-BATCH_CHARACTERS = 8_000_000
-REMEMBERED_PIECES = 500_000
+BATCH_CHARACTERS = 2_000_000
+REMEMBERED_PIECES = 150_000
+#: Rows that are answered together.
+ROWS = 1000
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,7 +57,7 @@ class PairIndexCoder:
         self.added = {t["content"]: t["id"] for t in content["added_tokens"]}
         for token, i in self.added.items():
             self.token_bytes[i] = token.encode()
-        self.byte_ids = np.zeros(256, np.int64)
+        self.byte_ids = np.zeros(256, np.int32)
         for letter, byte in letters.items():
             self.byte_ids[byte] = ids[letter]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -71,7 +75,7 @@ class PairIndexCoder:
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where the vocabulary has none."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.order[at], -1)
 
@@ -80,8 +84,8 @@ class PairIndexCoder:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         symbols = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         n = len(symbols)
-        piece = np.repeat(np.arange(len(pieces)), lengths)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         if n:
             last = np.cumsum(lengths[lengths > 0]) - 1
             after[last] = -1
@@ -104,7 +108,7 @@ class PairIndexCoder:
                     heapq.heappush(active, rank)
                 index[rank].append(group)
 
-        add(np.flatnonzero(after >= 0))
+        add(np.flatnonzero(after >= 0).astype(np.int32))
         while active:
             rank = heapq.heappop(active)
             groups = index.pop(rank)
@@ -220,6 +224,7 @@ def token_digests(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFr
 
 def _coded(docs: DataFrame, tokenizer: str, text: str, digests: bool) -> DataFrame:
     spark = docs.sparkSession
+    bound_batches(spark)
     content = spark.sparkContext.broadcast(_read(spark, tokenizer))
     names = ("ids_sha256", "decoded_sha256") if digests else ("token_ids", "decoded")
     kept = [c for c in docs.columns if c not in (*names, "n_tokens")]
@@ -234,7 +239,7 @@ def _coded(docs: DataFrame, tokenizer: str, text: str, digests: bool) -> DataFra
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PairIndexCoder(content.value)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
             ids, numbers, decoded = [], [], []
             for joined in coder.encode(texts):

@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import MARKS, grams, words_of
+from .words import MARKS, bound_batches, grams, words_of
 
 #: Item words that are sent to every task at once; a larger benchmark is taken in several passes.
-WORDS_A_PASS = 2_000_000
+WORDS_A_PASS = 500_000
 
 
 @dataclass(frozen=True)
@@ -129,8 +129,10 @@ def local_alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 def _passes(items: DataFrame, rule: LeakRule) -> Iterator[Items]:
     """The items in parts of bounded size; each part is small enough to be sent to every task."""
+    bound_batches(items.sparkSession)
     words = F.size(F.split("text", r"\s+"))
-    known = items.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
+    typed = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    known = typed.filter("item_id is not null and text is not null").distinct()
     total = known.agg(F.sum(words)).first()[0] or 0
     parts = int(total // WORDS_A_PASS) + 1
     for part in range(parts):
@@ -159,7 +161,7 @@ def _with_seeds(docs: DataFrame, items: Items) -> Items:
                 [pa.array(grams_.view(np.int64)), pa.array(docs_.astype(np.int64))], names=["gram", "docs"]
             )
 
-    counted = docs.select("text").mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
     items.keep_rarest({r["gram"] & (2**64 - 1): r["docs"] for r in counted.collect()})
     sent.unpersist()
     return items
@@ -194,7 +196,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "item_words", "last_word"])
 
-        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(search, schema))
+        found = found.unionByName(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(search, schema))
     return found
 
 

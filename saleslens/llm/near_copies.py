@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.staging import stage
 from .components import connected_components
-from .words import WHITE_SPACE, mix, numbers, shingles, words_of
+from .words import WHITE_SPACE, bound_batches, mix, numbers, shingles, words_of
 
 _U64 = np.uint64
 #: Ids up to this many are broadcast as a filter; more are joined by shuffle.
@@ -42,7 +42,7 @@ class NearCopyRule:
     def permutations(self) -> tuple[np.ndarray, np.ndarray]:
         """The placing one, and the ranking one with its beginning repeated at its end, so a shift is a slice."""
         drawn = np.random.default_rng(20)
-        place = drawn.permutation(self.slots).astype(np.int64)
+        place = drawn.permutation(self.slots).astype(np.int32)
         rank = drawn.permutation(self.slots).astype(np.uint32)
         return place, np.concatenate([rank, rank[: self.rows * self.bands]])
 
@@ -51,7 +51,7 @@ def band_keys(sizes: np.ndarray, hashes: np.ndarray, rule: NearCopyRule, place,
     """A row of `bands` keys for each text that has shingles."""
     sizes = sizes[sizes > 0]
     begins = np.cumsum(sizes) - sizes
-    slots = place[(hashes >> _U64(20)) & _U64(rule.slots - 1)]
+    slots = place[(hashes >> _U64(20)) & _U64(rule.slots - 1)].astype(np.int64)
     keys = np.zeros((len(sizes), rule.bands), _U64)
     if not len(sizes):
         return keys
@@ -105,7 +105,7 @@ def _signatures(docs: DataFrame, rule: NearCopyRule) -> DataFrame:
                 )
 
     schema = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"
-    return docs.select("doc_id", "text").mapInArrow(sign, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, schema)
 
 
 def _shingle_sets(docs: DataFrame, rule: NearCopyRule) -> DataFrame:
@@ -122,7 +122,7 @@ def _shingle_sets(docs: DataFrame, rule: NearCopyRule) -> DataFrame:
                     [batch.column(0).slice(first, len(sets)), lists], names=["doc", "shingles"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(collect, "doc long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(collect, "doc long, shingles array<long>")
 
 
 def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -244,6 +244,7 @@ def near_copies(docs: DataFrame, rule: NearCopyRule = NearCopyRule()) -> DataFra
     members are compared with the centre of their bucket, and what that leaves
     open passes the exact prefix filter.
     """
+    bound_batches(docs.sparkSession)
     signed = stage(_signatures(docs, rule), "signatures")
     sized = signed.filter("n_shingles > 0 and doc_id is not null")
     copies = stage(

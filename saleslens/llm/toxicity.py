@@ -6,11 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .words import MARKS, grams, words_of
+from .words import MARKS, bound_batches, grams, words_of
 
 #: Steps from a gram's first word to its words: single words, pairs, triples, and pairs that skip one or two words.
 GRAMS = ((0,), (0, 1), (0, 1, 2), (0, 2), (0, 3))
@@ -85,6 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> tu
     are left out. If there are more than `rule.training_rows`, those with the
     smallest hash of their id are taken.
     """
+    bound_batches(docs.sparkSession)
     known = (
         labels.filter("doc_id is not null and toxic is not null")
         .filter(~held_out(F.col("doc_id")))
@@ -93,28 +93,31 @@ def train(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> tu
     )
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rule.training_rows)
     named = sample.select(F.col("doc_id").alias("_doc"), F.col("toxic").cast("int").alias("_toxic"))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(named), F.col("doc_id") == F.col("_doc"))
+    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(named), F.col("doc_id") == F.col("_doc"))
 
     def to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = list(text_slots(batch.column(1), rule.slots))
-            columns = [batch.column(0), batch.column(2), pa.array(slots, pa.list_(pa.int32()))]
+            slots = [found.astype(np.int32) for found in text_slots(batch.column(1), rule.slots)]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int32)
+            values = np.concatenate([*slots, np.empty(0, np.int32)])
+            columns = [batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "toxic", "slots"])
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.iloc[np.argsort((group["doc"].to_numpy() * 2654435761) % 2**32, kind="stable")]
-        weights, bias = fit(list(ordered["slots"]), ordered["toxic"].to_numpy(), rule)
+    def learn(group: pa.Table) -> pa.Table:
+        lists = [part for part in group.column("slots").chunks if len(part)]
+        examples = [part.values.to_numpy()[a:b] for part in lists for a, b in zip(part.offsets.to_numpy()[:-1], part.offsets.to_numpy()[1:])]
+        order = np.argsort((group.column("doc").to_numpy() * 2654435761) % 2**32, kind="stable")
+        weights, bias = fit([examples[i] for i in order], group.column("toxic").to_numpy()[order], rule)
         kept = np.flatnonzero(weights)
-        return pd.DataFrame({"slot": np.append(kept, -1), "weight": np.append(weights[kept], bias)})
+        return pa.table({"slot": np.append(kept, -1), "weight": np.append(weights[kept], bias)})
 
     examples = chosen.select("doc_id", "text", "_toxic").mapInArrow(to_slots, "doc long, toxic int, slots array<int>")
-    model = examples.groupBy().applyInPandas(learn, "slot long, weight double").toPandas()
-    if not len(model):
+    model = examples.groupBy().applyInArrow(learn, "slot long, weight double").collect()
+    if not model:
         return None
-    weights = np.zeros(rule.slots, np.float64)
-    by_slot = model[model["slot"] >= 0]
-    weights[by_slot["slot"].to_numpy()] = by_slot["weight"]
-    return weights, float(model.loc[model["slot"] < 0, "weight"].iloc[0])
+    weights = np.zeros(rule.slots + 1)  # the bias has slot -1, the last one
+    weights[[r["slot"] for r in model]] = [r["weight"] for r in model]
+    return weights[:-1], float(weights[-1])
 
 
 def _scores(column: pa.Array, model: tuple[np.ndarray, np.ndarray, float], slots: int) -> np.ndarray:
@@ -147,7 +150,7 @@ def score(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> Da
             scores = _scores(batch.column(1), sent.value, rule.slots)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(mark, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(mark, "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -6,15 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of texts that are hashed together; a longer text is cut between words.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 250_000
+
+#: Bytes of an Arrow batch, so that a task holds a bounded part of its texts on either side of the pipe.
+BATCH_BYTES = 8 << 20
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of an Arrow batch to `BATCH_BYTES`; Spark has no such limit for a single plan."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(setting).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(setting, f"{BATCH_BYTES}b")
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finaliser of splitmix64)."""
     values = values ^ (values >> _U64(30))
