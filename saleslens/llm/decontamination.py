@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-grams of test items find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-grams of test items find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -19,16 +19,14 @@ WORDS_A_PASS = 500_000
 class LeakRule:
     """How passages are found and when a document counts as a leak.
 
-    An item's n-grams of `seed_words` words are ranked by the number of
-    documents that hold them; of every `window` neighbouring ones the rarest is
-    a seed, so each stretch of an item has one, however common its words are.
+    Every n-gram of `seed_words` words of an item is a seed, so a document that
+    shares one with an item is aligned around it, however common its words are.
     A word that agrees scores 1, one that differs or is missing costs 1. A leak
     scores `share` of the item's words at least. Items with fewer words than a
     seed say nothing and are left out.
     """
 
     seed_words: int = 3
-    window: int = 4
     share: float = 0.5
 
 
@@ -56,18 +54,6 @@ class Items:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def keep_rarest(self, frequency: dict[int, int]) -> None:
-        """Leave only the rarest gram of each window of neighbours; of equals the first."""
-        counts = np.array([frequency.get(g, 0) for g in self.grams.tolist()], np.int64)
-        order = np.lexsort((self.gram_places, self.gram_items))
-        kept = []
-        for own in np.split(order, np.flatnonzero(np.diff(self.gram_items[order])) + 1) if len(order) else []:
-            width = min(self.rule.window, len(own))
-            windows = np.lib.stride_tricks.sliding_window_view(counts[own], width)
-            kept.append(own[np.unique(np.arange(len(windows)) + windows.argmin(axis=1))])
-        chosen = np.concatenate(kept) if kept else order
-        self._index(self.grams[chosen], self.gram_items[chosen], self.gram_places[chosen])
-
     def hits(self, counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Grams of the texts that an item has too, and the place of their first word among all words."""
         found, at = grams(counts, hashes, tuple(range(self.rule.seed_words)))
@@ -141,32 +127,6 @@ def _passes(items: DataFrame, rule: LeakRule) -> Iterator[Items]:
         yield Items([i for i, _ in chosen], [t for _, t in chosen], rule)
 
 
-def _with_seeds(docs: DataFrame, items: Items) -> Items:
-    """The same items, left with their rare grams; how rare they are is counted over all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for _, counts, hashes in words_of(batch.column(0), MARKS):
-                found, at = sent.value.hits(counts, hashes)
-                text = np.searchsorted(np.cumsum(counts), at, "right")
-                order = np.lexsort((text, found))
-                found, text = found[order], text[order]
-                fresh = np.ones(len(found), bool)
-                fresh[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
-                parts.append(found[fresh])
-            grams_, docs_ = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64),) * 2
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams_.view(np.int64)), pa.array(docs_.astype(np.int64))], names=["gram", "docs"]
-            )
-
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    items.keep_rarest({r["gram"] & (2**64 - 1): r["docs"] for r in counted.collect()})
-    sent.unpersist()
-    return items
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
     """`doc_id`, `item_id`, `score`, `item_words`, `last_word` of each leak: a document and an item it holds.
 
@@ -180,7 +140,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(
     schema = "doc_id long, item_id long, score long, item_words long, last_word long"
     found = docs.sparkSession.createDataFrame([], schema)
     for items in _passes(benchmark, rule):
-        sent = docs.sparkSession.sparkContext.broadcast(_with_seeds(docs, items))
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
@@ -203,7 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
     """The rows of `docs` that hold no item of `benchmark`, with all their columns."""
     for items in _passes(benchmark, rule):
-        sent = docs.sparkSession.sparkContext.broadcast(_with_seeds(docs, items))
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -264,6 +264,25 @@ def test_leaks_are_found_and_clean_texts_left(frame):
     assert kept == {i for i, _ in rows} - {i for i, _ in leaked}
 
 
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_copies_with_a_change_in_every_few_words_are_found(frame, every):
+    draw, vocab = random.Random(every), vocabulary(n=1500)
+    items = [(i, prose(draw, vocab, draw.randint(16, 56) // every * every)) for i in range(24)]
+    rows = []
+    for i, text in items:
+        inner = [f"changed{at}" if at % every == every - 1 else word for at, word in enumerate(text.split(" "))]
+        rows += [(i, f"{prose(draw, vocab, 60)} {' '.join(inner)} {prose(draw, vocab, 60)}"), (100 + i, prose(draw, vocab, 120))]
+    docs, bench = frame(rows, "doc_id long, text string"), frame(items, "item_id long, text string")
+    expected = set()
+    for doc, passage in rows:
+        for item, text in items:
+            score, n = align(text.split(" "), passage.split(" ")), len(text.split(" "))
+            if score >= n / 2:
+                expected.add((doc, item, score))
+    assert {(i, i) for i, _ in items} <= {(doc, item) for doc, item, _ in expected}
+    assert {(r.doc_id, r.item_id, r.score) for r in decontamination.find_leaks(docs, bench).collect()} == expected
+
+
 def test_a_large_benchmark_takes_several_passes(frame, monkeypatch):
     draw, vocab = random.Random(6), vocabulary()
     items = [(i, prose(draw, vocab, 20)) for i in range(10)]
