@@ -116,8 +116,11 @@ HINT = (
     "creative|neither|event"
 )
 
-# A sentence ends at a line break or after a full stop, semicolon or mark followed by white space.
-SENTENCE_END = r"[.;!?]+\s+|\s*\n\s*"
+# A paragraph ends at a blank line, comment signs aside, unless a URL follows; a passage at that or after a full
+# stop, semicolon or mark followed by white space. Its lines are sentences, and so are statements that run over breaks.
+_BLANK = r"[^\S\n]*+[*#/%;-]*+[^\S\n]*+"
+PASSAGE_END = rf"[.;!?]+\s+|\n{_BLANK}(?=\n(?!{_BLANK}https?:))"
+LINE_END = r"\s*\n\s*"
 
 
 def normalised(sentence: Column) -> Column:
@@ -133,6 +136,53 @@ def sentence_id(sentence: Column) -> Column:
     return found
 
 
+def _line_ids(lines: Column) -> Column:
+    """`at` and `id` of each normalised line that is a known sentence; `at` counts the signs of the lines before it."""
+    none = F.array().cast("array<struct<at:int,id:string>>")
+
+    def add(seen: Column, line: Column) -> Column:
+        identifier = F.when(line.rlike(HINT), sentence_id(line))
+        own = F.array(F.struct((seen["at"] + 1).alias("at"), identifier.alias("id")))
+        after = seen["at"] + F.when(line == "", 0).otherwise(F.length(line) + 1)
+        found = F.when(identifier.isNull(), seen["found"]).otherwise(F.concat(seen["found"], own))
+        return F.struct(after.cast("int").alias("at"), found.alias("found"))
+
+    return F.aggregate(lines, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda seen: seen["found"])
+
+
+def _wrapped_ids(joined: Column, lines: Column) -> Column:
+    """`at` and `id` of the known sentences that only the joined lines hold; of overlapping ones the first pattern's."""
+    found = []
+    for rank, (identifier, pattern) in enumerate(SENTENCES):
+        expression = F.lit(pattern)
+        within = F.aggregate(lines, F.lit(0), lambda n, line: n + F.regexp_count(line, expression))  # noqa: B023
+        at = F.regexp_instr(joined, expression)
+        end = at + F.length(F.regexp_extract(joined, f"({pattern})", 1))
+        span = F.struct(at.alias("at"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(identifier).alias("id"))
+        found.append(F.when(joined.rlike(pattern) & (F.regexp_count(joined, expression) > within), span))
+    spans = F.filter(F.array(*found), lambda span: span.isNotNull())
+
+    def first(kept: Column, span: Column) -> Column:
+        taken = F.exists(kept, lambda other: (span["at"] >= other["at"]) & (span["at"] < other["end"]))
+        return F.when(taken, kept).otherwise(F.concat(kept, F.array(span)))
+
+    none = F.array().cast("array<struct<at:int,end:int,rank:int,id:string>>")
+    pick = lambda span: F.struct(span["at"].alias("at"), span["id"].alias("id"))
+    return F.aggregate(spans, none, first, lambda kept: F.transform(kept, pick))
+
+
+def passage_ids(passage: Column) -> Column:
+    """Identifiers of the known sentences in a passage, in order: of each line, and of what runs over its breaks."""
+    joined, lines = normalised(passage), F.transform(F.split(passage, LINE_END, -1), normalised)
+    # A text of one line is its own sentence; else most passages hold no statement and need one look.
+    several = F.when(
+        sentence_id(joined).isNull() & ~F.exists(lines, lambda line: line.rlike(HINT) & sentence_id(line).isNotNull()),
+        F.array().cast("array<string>"),
+    ).otherwise(F.transform(F.array_sort(F.concat(_line_ids(lines), _wrapped_ids(joined, lines))), lambda found: found["id"]))
+    single = F.filter(F.array(sentence_id(joined)), lambda identifier: identifier.isNotNull())
+    return F.when(passage.contains("\n"), several).otherwise(single)
+
+
 def _sequence(identifiers: str) -> str:
     return "".join(f"<{identifier}>" for identifier in identifiers.split())
 
@@ -140,7 +190,8 @@ def _sequence(identifiers: str) -> str:
 def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with `sentence_ids`, `licences` and `unmatched_ids`, three arrays of strings.
 
-    `sentence_ids` holds the known sentences of the whole text in their order;
+    `sentence_ids` holds the known sentences of the whole text in their order,
+    wrapped over lines or not;
     `licences` the distinct licences that rules find in it, in order of name;
     `unmatched_ids` what no rule took. A null or empty text, or one without a
     known sentence, has three empty arrays. All is computed within the row: no
@@ -148,8 +199,8 @@ def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
     the three names are replaced, others stay.
     """
     hinted = F.col(text).rlike("(?i)" + HINT)
-    parts = F.filter(F.split(F.col(text), SENTENCE_END, -1), lambda part: part.rlike("(?i)" + HINT))
-    identifiers = F.filter(F.transform(parts, lambda part: sentence_id(normalised(part))), lambda i: i.isNotNull())
+    parts = F.filter(F.split(F.col(text), PASSAGE_END, -1), lambda part: part.rlike("(?i)" + HINT))
+    identifiers = F.flatten(F.transform(parts, passage_ids))
     none = F.array().cast("array<string>")
     named = docs.withColumn("sentence_ids", F.when(hinted, identifiers).otherwise(none))
     wrapped = F.concat(F.lit("<"), F.array_join("sentence_ids", "><"), F.lit(">"))

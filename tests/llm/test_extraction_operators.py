@@ -143,6 +143,77 @@ def test_sequences_of_sentences_name_the_licence(frame):
     assert licenses.recognise(clashing.limit(0)).count() == 0
 
 
+WRAPPED_MIT = """Copyright (c) 2020 Ann
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+WRAPPED_GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+WRAPPED_BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DAMAGES."""
+WRAPPED_APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// "])
+def test_wrapped_texts_name_the_licence(frame, sign):
+    texts = [
+        WRAPPED_MIT, "MIT License\n\n" + WRAPPED_MIT, WRAPPED_GPL, WRAPPED_BSD, WRAPPED_APACHE,
+        "This is free and unencumbered software released into\nthe public domain.",
+        "Released under the MIT License\nLicensed under the BSD\n2-Clause License",
+        "Released under the MIT\n\nLicense",
+    ]
+    rows = [(i, "int a;\n" + "\n".join(sign + line for line in text.split("\n")).replace("\n", "\r\n" if i % 2 else "\n")) for i, text in enumerate(texts)]
+    found = {r.doc_id: r for r in licenses.recognise(frame(rows, "doc_id long, text string")).collect()}
+    mit = ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]
+    assert found[0].sentence_ids == mit and found[1].sentence_ids == ["mit-title", *mit]
+    assert found[2].sentence_ids == ["gpl-3-later", "gpl-hope", "gpl-details", "gpl-copy"]
+    assert found[3].sentence_ids == ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty", "bsd-liability"]
+    assert found[4].sentence_ids == ["apache-2", "apache-2-use", "apache-2-copy", "apache-2-basis", "apache-2-limits"]
+    named = [["MIT"], ["MIT"], ["GPL-3.0-or-later"], ["BSD-3-Clause"], ["Apache-2.0"], ["Unlicense"], ["BSD-2-Clause", "MIT"], []]
+    assert [found[i].licences for i in range(8)] == named and all(found[i].unmatched_ids == [] for i in range(8))
+
+
 # page texts
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
