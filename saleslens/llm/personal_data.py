@@ -173,23 +173,42 @@ def _terms(text: Column, length: int) -> Column:
 def _disclosures(held: DataFrame, docs: DataFrame, rule: DisclosureRule) -> DataFrame:
     """`entity` and its `terms` (`term`, `disclosure`) from `rule.generalise` on, one row for each value.
 
-    `held` has `_key`, `entity`, `context`. Copies of a context count once, by its hash.
+    `held` has `_key`, `entity`, `context`. Term, value, both together and corpus are counted in documents, copies
+    among them; only a term's support counts distinct contexts, by their hash. Documents that have the same contexts
+    of a value are counted before their terms are, so a group of copies costs the terms of one.
     """
     known = held.withColumn("term", F.array_distinct(_terms(F.col("context"), rule.term_length)))
     known = stage(known.select("_key", "entity", F.xxhash64("context").alias("which"), "term"), "contexts")
     counted = stage(known.dropDuplicates(["entity", "which"]), "distinct-contexts")
-    values = stage(counted.groupBy("entity").agg(F.count("*").alias("with_value")), "values")
+    alike = (
+        known.select("_key", "entity", "which")
+        .distinct()
+        .groupBy("_key", "entity")
+        .agg(F.bit_xor(F.xxhash64("which")).alias("contexts"), F.count("*").alias("n_contexts"))
+        .groupBy("entity", "contexts", "n_contexts")
+        .agg(F.count("*").alias("docs"), F.min("_key").alias("_key"))
+    )
+    alike = stage(alike.select("_key", "entity", "docs"), "alike")
+    values = stage(alike.groupBy("entity").agg(F.sum("docs").alias("with_value")), "values")
     total = float(max(docs.count(), 2))
     n = F.lit(total)
     # A term of as many documents as this, or more, can't reach the threshold; it is in as many at least as have it
     # in some context. So frequent words are left out before all texts are searched for the others.
     most = F.col("together") * F.pow(n / F.col("with_value"), F.lit(1 - rule.generalise)) * (1 + 1e-9)
     near = known.select("_key", F.explode("term").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("near"))
+    together = (
+        known.join(alike, ["_key", "entity"])
+        .select("_key", "entity", "docs", F.explode("term").alias("term"))
+        .distinct()
+        .groupBy("entity", "term")
+        .agg(F.sum("docs").alias("together"))
+    )
     pairs = (
         counted.select("entity", F.explode("term").alias("term"))
         .groupBy("entity", "term")
-        .agg(F.count("*").alias("together"))
-        .filter(F.col("together") >= rule.support)
+        .agg(F.count("*").alias("support"))
+        .filter(F.col("support") >= rule.support)
+        .join(together, ["entity", "term"])
         .join(near, "term")
         .join(values, "entity")
         .filter(F.col("near") <= most)

@@ -379,6 +379,20 @@ def test_disclosure_is_the_share_of_information(frame):
     assert value == pytest.approx(np.log2(16 * 4 / (4 * 8)) / np.log2(16 / 4))
 
 
+def test_copies_leave_a_revealing_term_its_disclosure(frame):
+    draw, vocab = random.Random(10), vocabulary()
+    beside = [f"{prose(draw, vocab, 8)} Zanzibarian wrote from ann@x.org {prose(draw, vocab, 8)}" for _ in range(3)]
+    rows = [(i, beside[i % 3]) for i in range(3)] + [(10 + i, beside[0]) for i in range(200)]  # copies of one of them
+    rows += [(1000 + i, prose(draw, vocab, 40)) for i in range(800)] + [(5000, "a zanzibarian elsewhere")]
+    found = {r.doc_id: r for r in personal_data.find_personal_data(frame(rows, "doc_id long, text string")).collect()}
+    n, own = len(rows), 203
+    expected = np.log2(n * own / (own * (own + 1))) / np.log2(n / own)
+    for i in (0, 1, 2, 10, 209):
+        assert {s.value: s.disclosure for s in found[i].spans if s.kind == "term"}["Zanzibarian"] == pytest.approx(expected)
+        assert "Zanzibarian" not in found[i].sanitised
+    assert found[5000].spans == []
+
+
 def test_generalised_words_keep_their_kind(frame):
     rule = personal_data.DisclosureRule(support=2, generalise=0.1, remove=2.0)
     rows = [(i, f"Berlinersee room2077 garden n{i} ann@x.org 1.2.3.4") for i in range(3)] + [(9, "x")] * 5
