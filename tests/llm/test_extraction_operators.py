@@ -246,6 +246,15 @@ def test_copied_articles_are_kept_whole(frame):
     assert {r.text for r in found.values()} == {"Head & line\nOne two three\ncafé A B\nfirst\nsecond"}
 
 
+def test_copies_of_unmarked_pages_are_kept_whole(frame):
+    html = "<body><div class=top>Same line</div><div class=body><p>Own words {0}</p></div></body>"
+    rows = [(i, f"http://a.b/{i}", html.format("x")) for i in range(100)]  # all alike
+    rows += [(1000 + i, f"http://c.d/{i}", html.format(max(i - 90, 0))) for i in range(100)]  # nine in ten alike
+    found = page_texts(frame, rows)
+    assert {found[i].text for i in range(100)} == {"Same line\nOwn words x"}
+    assert all(found[1000 + i].text == f"Own words {max(i - 90, 0)}" for i in range(100))
+
+
 def test_repeated_branches_of_unmarked_pages_go(frame):
     html = "<body><div class=top>Same <b>line</b></div><ul><li><a href=x>to {0}</a><li><a>and {0}</a></ul><div class=body><p>Own words {0}</p><p>and more {0}</p></div><div class=end>Same end</div>"
     rows = [(i, f"http://One.b/{i}", html.format(i)) for i in range(12)] + [(100, "http://two.b/", html.format("x"))]
