@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +23,17 @@ class LeakRule:
     Every n-gram of `seed_words` words of an item is a seed, so a document that
     shares one with an item is aligned around it, however common its words are.
     A word that agrees scores 1, one that differs or is missing costs 1. A leak
-    scores `share` of the item's words at least. Items with fewer words than a
-    seed say nothing and are left out.
+    scores `share` of the item's words or `passage` words, whichever is less.
+    Items with fewer words than a seed say nothing and are left out.
     """
 
     seed_words: int = 3
     share: float = 0.5
+    passage: int = 30
+
+    def least(self, words: int) -> float:
+        """Score from which an alignment with an item of so many words is a leak."""
+        return min(self.share * words, self.passage)
 
 
 class Items:
@@ -85,7 +91,8 @@ class Items:
         items, begins = self.gram_items[seeds][by_item], begins[by_item]
         for item in np.unique(items).tolist():
             own = self.words[item]
-            n, slack = len(own), len(own) // 2 + 1
+            n, least = len(own), self.rule.least(len(own))
+            slack = n - math.ceil(least) + 1  # a leak has no more words put in or left out
             best = (0, 0)
             starts = begins[items == item]
             for region in np.split(starts, np.flatnonzero(np.diff(starts) > n + 2 * slack) + 1):
@@ -93,7 +100,7 @@ class Items:
                 last = min(int(region[-1]) + n + slack, len(words))
                 score, end = local_alignment(own, words[first:last])
                 best = max(best, (score, first + end))
-            if best[0] >= self.rule.share * n:
+            if best[0] >= least:
                 result.append((item, *best))
         return result
 

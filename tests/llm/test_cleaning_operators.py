@@ -283,6 +283,18 @@ def test_copies_with_a_change_in_every_few_words_are_found(frame, every):
     assert {(r.doc_id, r.item_id, r.score) for r in decontamination.find_leaks(docs, bench).collect()} == expected
 
 
+def test_long_passages_of_long_items_are_found(frame):
+    draw, vocab = random.Random(8), vocabulary(n=1500)
+    item = prose(draw, vocab, 300).split(" ")
+    passages = [item[100:240], item[:30], item[:29], [w for word in item[50:150] for w in (word, "in")][: 2 * 90], [w for at, word in enumerate(item) for w in ([word, "in"] if at % 3 == 2 else [word])]]
+    rows = [(i, f"{prose(draw, vocab, 20)} new {' '.join(p)} end {prose(draw, vocab, 20)}") for i, p in enumerate(passages)]
+    docs, bench = frame(rows, "doc_id long, text string"), frame([(1, " ".join(item))], "item_id long, text string")
+    scores = {i: align(item, text.split(" ")) for i, text in rows}
+    found = decontamination.find_leaks(docs, bench).collect()
+    assert {r.doc_id: r.score for r in found} == {i: score for i, score in scores.items() if score >= 30} and {0, 1, 4} <= {r.doc_id for r in found}
+    assert 2 not in {r.doc_id for r in found}
+
+
 def test_a_large_benchmark_takes_several_passes(frame, monkeypatch):
     draw, vocab = random.Random(6), vocabulary()
     items = [(i, prose(draw, vocab, 20)) for i in range(10)]
