@@ -8,7 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import byte_pairs, decontamination, licenses, near_copies, personal_data, resharding, site_trees, top_products, toxicity, url_filter
+from . import (
+    byte_pairs,
+    decontamination,
+    licenses,
+    merkle_manifest,
+    near_copies,
+    periodic_runs,
+    personal_data,
+    resharding,
+    site_trees,
+    top_products,
+    toxicity,
+    url_filter,
+    vector_copies,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,6 +109,66 @@ def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_leaks(docs, table(spark, folder, "benchmark", "item_id", "text"))
 
 
+def vector_components(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_copies.vector_copies(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+#: What a leaf of the manifest holds.
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def manifest_proofs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every leaf's proof, and the root that it gives for a row whose text may have lost its line breaks."""
+    docs = table(spark, folder, "documents", *LEAF_FIELDS)
+    bare = F.translate("text", "\n", "")
+    changed = merkle_manifest.leaf_digest([bare if c == "text" else F.col(c) for c in LEAF_FIELDS])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, changed)
+    found = merkle_manifest.merkle_manifest(docs, LEAF_FIELDS, carry={"tampered": tampered})
+    folded = merkle_manifest.folded(F.col("path"), F.coalesce("tampered", "leaf"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle_manifest.proof(F.col("path")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of which a tenth, chosen by the checksum of the id, repeats a stretch of its words up to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    chosen = docs.withColumns({"h": h, "words": F.when(h % 10 == 0, words)})
+    chosen = chosen.withColumns({"g": F.floor(F.col("h") / 10), "n": F.size("words")})
+    chosen = chosen.withColumn("a", F.col("g") % F.col("n"))
+    chosen = chosen.withColumn("p", F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1)
+
+    def word(i: Column) -> Column:
+        return F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+
+    planted = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), word), " ")
+    return chosen.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_texts(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, folder, "documents", "doc_id", "text")))
+    longest = F.reduce(
+        "runs", F.lit(None).cast(periodic_runs.RUN), lambda best, run: F.when(best.isNull() | (run["length"] > best["length"]), run).otherwise(best)
+    )
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.start",
+        "longest.length",
+        "longest.period",
+        F.floor(F.lit(1000) * F.col("longest.length") / F.col("longest.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_flow_resharding": shard_places,
     "op2_ftrl_toxicity": toxicity_scores,
@@ -106,6 +180,9 @@ QUERIES: dict[str, Query] = {
     "op8_norm_buckets": top_inner_products,
     "op9_redirect_equivalence": url_verdicts,
     "op10_rare_seed_alignment": benchmark_leaks,
+    "op11_projection_collisions": vector_components,
+    "op12_bitmap_rank_manifest": manifest_proofs,
+    "op13_dyadic_square_catching": periodic_texts,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -194,7 +271,99 @@ def _url_sql() -> str:
     """
 
 
+def _digest_sql(text: str) -> str:
+    """A leaf's digest over a row of documents whose text is `text`."""
+    values = [f"({text})" if c == "text" else f"{c}::varchar" for c in LEAF_FIELDS]
+    parts = (f"coalesce(octet_length(encode({v}))::varchar || ':' || {v}, '-')" for v in values)
+    return f"sha256({' || '.join(parts)})"
+
+
+def _manifest_sql() -> str:
+    """Every level by a recursion that groups the one below, then every leaf folded level by level."""
+
+    def levels(name: str, base: str) -> str:
+        return f"""{name}(tree, level, place, digest, n) as (
+            {base}
+            union all
+            select tree, level + 1, place // 3, sha256(string_agg(digest, '' order by place)), (any_value(n) + 2) // 3
+            from {name} where n > 1 group by tree, level, place // 3
+        )"""
+
+    def siblings(name: str) -> str:
+        return f"""{name}_runs as (
+            select a.tree, a.level, a.place,
+                coalesce(string_agg(b.digest, '' order by b.place) filter (b.place < a.place), '') as lefts,
+                coalesce(string_agg(b.digest, '' order by b.place) filter (b.place > a.place), '') as rights
+            from {name} a join {name} b on a.tree is not distinct from b.tree and a.level = b.level and a.place // 3 = b.place // 3
+            where a.n > 1 group by all
+        )"""
+
+    def folds(name: str, base: str, runs: str) -> str:
+        return f"""{name}(row, tree, level, place, folded, proof) as (
+            {base}
+            union all
+            select f.row, f.tree, f.level + 1, f.place // 3, sha256(lefts || folded || rights), proof || lefts || rights
+            from {name} f join {runs} r on f.tree is not distinct from r.tree and f.level = r.level and f.place = r.place
+        ), {name}_end as (select row, tree, max_by(folded, level) as folded, max_by(proof, level) as proof from {name} group by row, tree)"""
+
+    return f"""
+        with recursive
+        checksums(i, c) as (
+            select i, list_reduce(list_concat([i], range(8)), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)
+            from range(256) r(i)
+        ), steps as (select list(c order by i) as step from checksums),
+        rows as (
+            select *, row_number() over () as row, xor(4294967295, list_reduce(
+                list_concat([4294967295::bigint], [ascii(x)::bigint for x in string_split(doc_id::varchar, '')]),
+                lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) as checksum
+            from documents, steps
+        ), leaves as (
+            select row, doc_id, source as tree, {_digest_sql("text")} as leaf,
+                case when checksum % 2 = 0 then {_digest_sql("replace(text, chr(10), '')")} else {_digest_sql("text")} end as changed
+            from rows
+        ), placed as (
+            select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place,
+                count(*) over (partition by tree) as n
+            from leaves
+        ),
+        {levels("nodes", "select tree, 0, place, leaf, n from placed")},
+        {siblings("nodes")},
+        {folds("paths", "select row, tree, 0, place, changed, '' from placed", "nodes_runs")},
+        subroots as (select tree as source, max_by(digest, level) as subroot from nodes group by tree),
+        sources as (
+            select source, subroot, row_number() over (order by encode(source) nulls first) - 1 as place, count(*) over () as n from subroots
+        ),
+        {levels("tops", "select 0, 0, place, subroot, n from sources")},
+        {siblings("tops")},
+        ended as (
+            select p.row, p.proof, p.folded, s.place, s.subroot from paths_end p join sources s on p.tree is not distinct from s.source
+        ),
+        {folds("whole", "select row, 0, 0, place, folded, proof from ended", "tops_runs")}
+        select l.doc_id, l.leaf, e.subroot, t.root, sha256(w.proof) as proof_sha256, w.folded as folded_root, w.folded = t.root as verified
+        from leaves l join ended e using (row) join whole_end w using (row), (select max_by(digest, level) as root from tops) t
+    """
+
+
 SQL: dict[str, str] = {
+    "op12_bitmap_rank_manifest": _manifest_sql(),
+    "op11_projection_collisions": """
+        with recursive v as (
+            select vec_id, list_transform(embedding, lambda x: x::double) as e
+            from embeddings
+            where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links as (
+            select a.vec_id as a, b.vec_id as b from v a join v b
+                on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reach(node, other) as (
+            select a, a from links union select node, b from reach join links on other = a
+        ), known as (
+            select vec_id, (select count(*) from links where a = vec_id) as n_links,
+                coalesce((select min(other) from reach where node = vec_id), vec_id) as component_id
+            from embeddings
+        )
+        select vec_id, n_links, component_id, vec_id = component_id as kept from known
+    """,
     "op4_licence_sentences": _licence_sql(),
     "op9_redirect_equivalence": _url_sql(),
     "op8_norm_buckets": """

@@ -22,10 +22,18 @@ _INVERSE = pow(_BASE, -1, 2**64)
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's limit of an Arrow batch to `BATCH_BYTES`; Spark has no such limit for a single plan."""
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(setting).rstrip("b")) > BATCH_BYTES:
+    if byte_count(spark.conf.get(setting)) > BATCH_BYTES:
         spark.conf.set(setting, f"{BATCH_BYTES}b")
 
 
+def byte_count(size: str) -> int:
+    """Bytes of a size as Spark's settings spell it: `8388608`, `8m`, `64mb`."""
+    spelled = size.strip().lower()
+    number = spelled.rstrip("bkmgtp")
+    unit = spelled[len(number) :].removesuffix("b")
+    return int(number) << 10 * ("", "k", "m", "g", "t", "p").index(unit)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finaliser of splitmix64)."""
     values = values ^ (values >> _U64(30))

@@ -84,5 +84,5 @@ def test_stages_take_an_empty_table(spark, corpus):
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="no given tables")
 def test_registered(spark):
     names = registered.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert names["pipeline"](spark, FOLDER).count() > 0
