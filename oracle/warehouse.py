@@ -111,7 +111,30 @@ def _line(column: str, key: str, columns: str) -> str:
     return " || ',' || ".join(fields)
 
 
+def _reasons(table: str, number: str, key: str, columns: str) -> str:
+    """Lines whose fields are spoiled by rules on the key, and why each is refused."""
+    text, kind = _SPOILED[table]
+    words = f"{key} % 13 = 0"
+    spoiled = {number: f"CASE WHEN {words} THEN 'n/a' ELSE cast({number} AS VARCHAR) END",
+        text: f"CASE WHEN {key} % 17 = 0 THEN rpad({text}, 51, 'x') ELSE {text} END"}
+    reasons = {text: f"CASE WHEN {key} % 17 = 0 THEN '{text}: longer than 50' END", number: f"CASE WHEN {words} THEN '{number}: not {kind}' END"}
+    refused = f"{words} OR {key} % 17 = 0"
+    if table == "fact_sales":
+        spoiled[number] = f"""CASE WHEN {words} THEN 'n/a' WHEN {key} % 19 = 0 THEN '300' WHEN {key} % 23 = 0 THEN '-1'
+            ELSE cast({number} AS VARCHAR) END"""
+        reasons[number] = f"""CASE WHEN {words} THEN 'quantity: not smallint' WHEN {key} % 19 = 0 THEN 'quantity: above 255'
+            WHEN {key} % 23 = 0 THEN 'quantity: below 0' END"""
+        refused += f" OR {key} % 19 = 0 OR {key} % 23 = 0"
+    line = " || ',' || ".join(f"coalesce({spoiled.get(c, f'cast({c} AS VARCHAR)')}, '')" for c in columns.split())
+    listed = ", ".join(reasons[c] for c in columns.split() if c in reasons)
+    return f"SELECT '{table}' AS table_name, {line} AS rejected_line, concat_ws('; ', {listed}) AS reasons FROM {table} WHERE {refused}"
+
+
+# For each table of the star: the text that is made too long, and the type of the number that a word takes the place of.
+_SPOILED = {"dim_customers": ("customer_number", "int"), "dim_products": ("product_name", "int"), "fact_sales": ("order_number", "smallint")}
+
 _BODIES = {
+    "load_reject_reasons": " UNION ALL ".join(_reasons(t, *parts) for t, parts in _STAR.items()),
     "load_gold": " UNION ALL ".join(
         f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count({c}) AS filled,
             count(DISTINCT {c}) AS different, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM {t}"""
@@ -252,4 +275,8 @@ _BODIES = {
     "conform_categories": "SELECT *, TIMESTAMP '2020-02-03 04:05:06.7' AS dwh_create_date FROM erp_px_cat",
 }
 
+# Jobs over tables that were stored in another way give the same.
+_BODIES["load_gold_keeps_old"] = _BODIES["load_gold"]
+_BODIES["report_products_by_month"] = _BODIES["report_products"]
+
 SQL = {key: with_shapes(body) for key, body in _BODIES.items()}

@@ -14,6 +14,7 @@ from ..functions.dates import as_date, days_between
 from ..functions.labels import above, first_match, position
 from ..functions.numbers import ROUNDING_TYPE, count_where, mean, percent, ratio, round_to, rounded_mean
 from ..operators.keys import HOT_ROWS, latest_per_key
+from ..operators.months import in_period
 from ..operators.ranking import add_ntiles
 from ..operators.rows import as_view, metrics_to_rows
 from ..operators.scores import rfm_segment, score_customers
@@ -388,8 +389,7 @@ def fin_customer_summary(tables: Tables) -> DataFrame:
 def fin_kpis(tables: Tables, as_of_from: dt.date) -> DataFrame:
     """One row of key figures from a start date on."""
     return (
-        tables["financial_transactions"]
-        .filter(F.col("transaction_date") >= F.lit(as_of_from).cast("timestamp_ntz"))
+        in_period(tables["financial_transactions"], "transaction_date", as_of_from)
         .agg(
             F.count("*").alias("total_transactions"),
             F.sum("amount").alias("total_volume"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.dates import as_date, months_between_boundaries, years_between_boundaries
 from ..functions.labels import first_match
 from ..functions.numbers import ROUNDING_TYPE, percent, ratio, round_to, whole_mean, whole_ratio
+from ..operators.months import in_period
 from ..operators.ranking import top_ranks
 from ..operators.rollup import rollup_by_attributes, rollup_by_entity, sums
 from ..operators.rows import as_view, metrics_to_rows
@@ -27,7 +28,7 @@ def _sales(tables: Tables) -> DataFrame:
 
 
 def _dated_sales(tables: Tables) -> DataFrame:
-    return _sales(tables).filter("order_date is not null")
+    return in_period(_sales(tables), "order_date")
 
 
 # Dimensions and date ranges

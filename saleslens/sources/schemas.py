@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
+
+from ..operators.limits import Limit
 
 
 def table_schema(columns: str) -> StructType:
@@ -41,3 +43,15 @@ CRM_PRD_INFO = table_schema(
 ERP_PX_CAT = table_schema("id string, cat string, subcat string, maintenance string")
 
 GOLD = {"dim_customers": DIM_CUSTOMERS, "dim_products": DIM_PRODUCTS, "fact_sales": FACT_SALES}
+
+# The declared lengths and ranges of the star.
+LONGEST_TEXT = 50
+QUANTITIES = (0, 255)
+
+
+def _star_limits(schema: StructType) -> dict[str, Limit]:
+    texts = {f.name: Limit(longest=LONGEST_TEXT) for f in schema if isinstance(f.dataType, StringType)}
+    return texts | ({"quantity": Limit(least=QUANTITIES[0], most=QUANTITIES[1])} if "quantity" in schema.names else {})
+
+
+GOLD_LIMITS = {name: _star_limits(schema) for name, schema in GOLD.items()}
