@@ -155,6 +155,13 @@ _BODIES = {
             CAST(max({c}) AS VARCHAR) AS max_value, count(DISTINCT {c}) AS distinct_count FROM dim_customers"""
         for c, t in _CUSTOMER_COLUMNS.items()
     ),
+    "profile_sketched": " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) - count({c}) AS null_count,
+            {small(f'max(length(CAST({c} AS VARCHAR)))')} AS max_length, CAST(min({c}) AS VARCHAR) AS min_value,
+            CAST(max({c}) AS VARCHAR) AS max_value, true AS distinct_within_error FROM dim_customers"""
+        for c, t in _CUSTOMER_COLUMNS.items()
+        if c != "country"
+    ),
     "dim_countries": "SELECT DISTINCT country FROM dim_customers",
     "dim_product_hierarchy": "SELECT DISTINCT category, subcategory, product_name FROM dim_products",
     "order_date_range": f"""

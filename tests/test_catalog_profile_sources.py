@@ -5,7 +5,7 @@ import pytest
 from saleslens.plans import catalog, profile, warehouse
 from saleslens.sources import csv_tables, schemas
 
-from conftest import values
+from conftest import plan_of, values
 
 
 def day(text):
@@ -65,12 +65,37 @@ def test_report_check_finds_each_violation(spark):
 def test_profiles(frame):
     df = frame([(1, "a", None), (2, "bbb", None), (2, None, None)], "n int, t string, d date")
     assert values(profile.profile_tables({"one": df, "two": df.limit(0)})) == [("one", 3, 3), ("two", 0, 3)]
-    columns = ["column_name", "data_type", "null_count", "max_length", "min_value", "max_value", "distinct_count"]
-    assert values(profile.profile_columns(df), *columns) == [
+    expected = [
         ("d", "date", 3, None, None, None, 0),
         ("n", "int", 0, 1, "1", "2", 2),
         ("t", "string", 1, 3, "a", "bbb", 2),
     ]
+    for exact in (False, True):  # so few values are counted exactly by sketches, too
+        assert values(profile.profile_columns(df, exact=exact), *profile.NAMES) == expected
+        empty = [(c, kind, 0, None, None, None, 0) for c, kind, *_ in expected]
+        assert values(profile.profile_columns(df.limit(0), exact=exact), *profile.NAMES) == empty
+
+
+def test_sketches_merge_and_stay_within_their_error(spark):
+    days = spark.range(200_000).selectExpr(
+        "id % 10 as day", "id as n", "cast(id % 3000 as string) as t", "date '2020-01-01' + cast(id % 700 as int) as d", "id / 7 as x"
+    )
+    stored = profile.sketch_columns(days, by=["day"])
+    assert stored.count() == 10
+    halves = profile.merge_profiles(stored.withColumn("half", stored.day % 2), by=["half"])
+    merged = profile.show_profile(halves, dict(days.drop("day").dtypes))
+    whole = {r.column_name: r for r in profile.profile_columns(days.drop("day"), exact=True).collect()}
+    for row in merged.collect():
+        exact = whole[row.column_name].distinct_count
+        assert abs(row.distinct_count - exact) <= 4 * profile.sketch_error() * exact
+        assert row[:6] == whole[row.column_name][:6]
+    assert [r.distinct_count for r in whole.values()] == [700, 200_000, 3000, 200_000]
+
+
+def test_sketches_need_one_aggregate(spark):
+    df = spark.range(10).selectExpr("id as a", "id as b", "cast(id as string) as c")
+    plan = plan_of(profile.sketch_columns(df))
+    assert plan.count("Exchange SinglePartition") == 1 and "Expand" not in plan and "Join" not in plan
 
 
 HEADER = ",".join(schemas.FACT_SALES.names)
