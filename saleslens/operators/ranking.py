@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, Window, functions as F
 
+from .selection import Order, can_select, figures_of, read_figures, select_places, sql_literal, whole_range
 from .staging import stage
 
 ROWS_PER_PARTITION = 5_000_000
@@ -44,9 +46,6 @@ def number_rows(
     )
 
 
-Order = Sequence[tuple[str, bool]]
-
-
 def sorting(order: Order) -> list[Column]:
     """Sort columns of (name, ascending) pairs; nulls first ascending, last descending."""
     return [F.asc(name) if ascending else F.desc(name) for name, ascending in order]
@@ -59,18 +58,18 @@ def bucket_starts(rows: int, buckets: int) -> list[int]:
     return [start for start in starts if start <= rows]
 
 
-def _stands_before(order: Order, cut: Row) -> Column:
-    """Whether a row comes before the cut row."""
-    before = F.lit(False)
-    for name, ascending in reversed(order):
-        value, at = F.col(name), F.lit(cut[name])
-        if cut[name] is None:
-            first = F.lit(False) if ascending else value.isNotNull()
-        elif ascending:
-            first = value.isNull() | (value < at)
+def _stands_before(order: Order, cut: Sequence[str | None]) -> str:
+    """Condition that a row comes before the cut, of which the first columns are given as SQL literals (None: null)."""
+    before = "false"
+    for (name, ascending), at in reversed(list(zip(order, cut))):
+        value = f"`{name}`"
+        if at is None:
+            first = "false" if ascending else f"{value} is not null"
+            same = f"{value} is null"
         else:
-            first = F.coalesce(value > at, F.lit(False))
-        before = first | (value.eqNullSafe(at) & before)
+            first = f"({value} is null or {value} < {at})" if ascending else f"coalesce({value} > {at}, false)"
+            same = f"{value} <=> {at}"
+        before = f"({first} or ({same} and {before}))"
     return before
 
 
@@ -95,16 +94,31 @@ def _cut_rows(df: DataFrame, order: Order, buckets: int, rows: int) -> list[Row]
 def add_ntiles(df: DataFrame, tiles: Sequence[tuple[str, int, Order]]) -> DataFrame:
     """Add `NTILE(n) OVER (ORDER BY ...)` columns given as (name, n, total order).
 
-    The table is staged once. Only the order columns are sorted by range, to find
-    the n - 1 rows at which buckets begin; every row is labelled by comparison
-    with those, so no row meets another one.
+    The table is staged once, and its percentiles are taken as it is written.
+    Where the columns of an order can be counted (see `selection`), the n - 1
+    rows at which buckets begin are found by counting, those of all tiles
+    together; else, for texts and floats, the order columns
+    are sorted by range. Every row is labelled by comparison with the first rows
+    of the buckets, so no row meets another one.
     """
-    result = stage(df, "ntile")
-    rows = result.count()
-    labels = {}
+    kinds = {f.name: f.dataType for f in df.schema}
+    counted = [tile for tile in tiles if all(can_select(kinds[c]) for c, _ in tile[2])]
+    ranges, seen = list(dict.fromkeys(whole_range(df, order) for _, _, order in counted)), Observation()
+    result = stage(df.observe(seen, F.count(F.lit(1)).alias("rows"), *figures_of(ranges)), "ntile")
+    figures = seen.get
+    rows = figures["rows"]
+    wanted = [(name, order, start) for name, buckets, order in counted for start in bucket_starts(rows, buckets)]
+    found = select_places(result, [(order, start) for _, order, start in wanted], read_figures(ranges, figures))
+    cuts: dict[str, list[Sequence[Any]]] = {}
+    for (name, _, _), cut in zip(wanted, found):
+        cuts.setdefault(name, []).append(cut)
     for name, buckets, order in tiles:
-        cuts = _cut_rows(result, order, buckets, rows)
-        labels[name] = sum(((~_stands_before(order, cut)).cast("int") for cut in cuts), F.lit(1))
+        if (name, buckets, order) not in counted:
+            cuts[name] = [[cut[c] for c, _ in order] for cut in _cut_rows(result, order, buckets, rows)]
+    labels = {}
+    for name, _, order in tiles:
+        spelled = [[None if v is None else sql_literal(v, kinds[c]) for v, (c, _) in zip(cut, order)] for cut in cuts.get(name, ())]
+        labels[name] = F.expr(" + ".join(["1", *(f"if({_stands_before(order, cut)}, 0, 1)" for cut in spelled)]))
     return result.withColumns(labels)
 
 
