@@ -134,6 +134,12 @@ def _reasons(table: str, number: str, key: str, columns: str) -> str:
 _SPOILED = {"dim_customers": ("customer_number", "int"), "dim_products": ("product_name", "int"), "fact_sales": ("order_number", "smallint")}
 
 _BODIES = {
+    "sales_by_periods": " UNION ALL ".join(
+        f"""SELECT '{period}' AS period, CAST(date_trunc('{period}', order_date) AS DATE) AS period_start, {REVENUE} AS total_sales,
+            {big('sum(quantity)')} AS total_quantity, count(DISTINCT customer_key) AS total_customers
+            FROM fact_sales WHERE {DATED} GROUP BY ALL"""
+        for period in ("month", "quarter", "year")
+    ),
     "load_reject_reasons": " UNION ALL ".join(_reasons(t, *parts) for t, parts in _STAR.items()),
     "load_gold": " UNION ALL ".join(
         f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count({c}) AS filled,
@@ -284,6 +290,7 @@ _BODIES = {
 
 # Jobs over tables that were stored in another way give the same.
 _BODIES["load_gold_keeps_old"] = _BODIES["load_gold"]
-_BODIES["report_products_by_month"] = _BODIES["report_products"]
+_BODIES["report_products_by_month"] = _BODIES["report_products_by_key"] = _BODIES["report_products"]
+_BODIES["report_customers_fixed_by_key"] = _BODIES["report_customers_fixed"]
 
 SQL = {key: with_shapes(body) for key, body in _BODIES.items()}

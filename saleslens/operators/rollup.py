@@ -10,6 +10,7 @@ attributes are null, as in a left join.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -42,7 +43,7 @@ def sums(**columns: str) -> dict[str, tuple[Column, Column]]:
 
 
 def rollup_by_entity(
-    facts: DataFrame,
+    facts: DataFrame | Sequence[DataFrame],
     key: str,
     dimension: DataFrame,
     attributes: Sequence[str],
@@ -56,7 +57,10 @@ def rollup_by_entity(
     shuffle. Facts without a dimension row need their distinct counts over all of
     them, so they are aggregated apart, and only where there are any. The
     aggregate is staged, so that this check does not read the facts again.
+    Facts may come in parts that share no key (see `key_buckets`): a part that is
+    bucketed by the key is aggregated without any shuffle.
     """
+    parts = [facts] if isinstance(facts, DataFrame) else list(facts)
     aggregates = [m.alias(n) for n, m in measures.items()]
     counts = {n: F.countDistinct(column).alias(n) for n, column in distinct.items()}
     details = dimension.select(key, *[a for a in attributes if a != key])
@@ -64,16 +68,21 @@ def rollup_by_entity(
 
     # A null key finds no partner here; it has no dimension row and is counted below.
     first, *others = ([aggregates] if aggregates else []) + [[count] for count in counts.values()]
-    per_key = facts.groupBy(key).agg(*first)
-    for count in others:
-        per_key = per_key.join(facts.groupBy(key).agg(*count), key, "left")
-    per_key = stage(per_key, "per-key")
+
+    def of_part(part: DataFrame) -> DataFrame:
+        found = part.groupBy(key).agg(*first)
+        for count in others:
+            found = found.join(part.groupBy(key).agg(*count), key, "left")
+        return found
+
+    per_key = stage(reduce(DataFrame.unionByName, map(of_part, parts)), "per-key")
     matched = per_key.join(details, key).select(*attributes, *names)
 
     lost = per_key.select(key).join(dimension.select(key), key, "left_anti").withColumnRenamed(key, "_lost")
     lost = stage(lost, "lost-keys")
     if lost.isEmpty():
         return matched
+    facts = reduce(DataFrame.unionByName, parts)
     orphans = facts.join(lost, facts[key].eqNullSafe(lost["_lost"]), "left_semi").agg(*aggregates, *counts.values())
     types = dict((f.name, f.dataType) for f in details.schema)
     nulls = [F.lit(None).cast(types[a]).alias(a) for a in attributes]

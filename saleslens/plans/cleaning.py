@@ -6,12 +6,13 @@ work on a streaming DataFrame as well.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.dates import full_date
 from ..functions.labels import tidy_gender
 from ..operators.keys import drop_repeated_keys, latest_per_key
+from ..sources.changes import StoredTable, delete_keys, update_where
 
 Tables = dict[str, DataFrame]
 
@@ -121,3 +122,24 @@ def patient_clean(tables: Tables) -> DataFrame:
     """All steps in one pass: the columns first, then one shuffle to drop copies."""
     columns = fill_phone(split_address(standardize_gender(standardize_admission(_records(tables)))))
     return newest_record(columns)
+
+
+def store_records(tables: Tables, path: str) -> StoredTable:
+    """The records as a table stored by month of admission, as yet uncleaned."""
+    month = F.trunc(_admitted(_records(tables)), "MM")
+    return StoredTable.create(_records(tables).withColumn("admission_month", month), path, "admission_month")
+
+
+def clean_stored(spark: SparkSession, table: StoredTable) -> DataFrame:
+    """Clean a stored table in place, writing only months that hold a changed row; its rows with the added columns.
+
+    Genders and phones are updates, older copies of a person are deleted; the
+    date and the parts of the address are columns that readers add.
+    """
+    gender = tidy_gender(F.col("gender"))
+    update_where(spark, table, ~gender.eqNullSafe(F.col("gender")), {"gender": gender})
+    update_where(spark, table, _phone_missing(), {"phone_number": F.lit(NO_PHONE)})
+    stored = table.read(spark)
+    older = stored.select("record_id").join(newest_record(stored).select("record_id"), "record_id", "left_anti")
+    delete_keys(spark, table, older)
+    return split_address(standardize_admission(table.read(spark))).drop(table.partition)

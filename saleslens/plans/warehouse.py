@@ -7,6 +7,7 @@ averages and quotients of whole numbers are cut toward zero.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,9 +15,11 @@ from ..functions.dates import as_date, months_between_boundaries, years_between_
 from ..functions.labels import first_match
 from ..functions.numbers import ROUNDING_TYPE, percent, ratio, round_to, whole_mean, whole_ratio
 from ..operators.months import in_period
+from ..operators.period_bitmaps import PERIODS, monthly_bitmaps, roll_up
 from ..operators.ranking import top_ranks
 from ..operators.rollup import rollup_by_attributes, rollup_by_entity, sums
 from ..operators.rows import as_view, metrics_to_rows
+from ..operators.staging import stage
 
 Tables = dict[str, DataFrame]
 
@@ -31,6 +34,14 @@ def _dated_sales(tables: Tables) -> DataFrame:
     return in_period(_sales(tables), "order_date")
 
 
+def _dated_parts(tables: Tables, key: str) -> list[DataFrame]:
+    """Dated sales, from facts stored by this key if there are any (`fact_sales_by_<key>`: a `KeyBuckets`)."""
+    stored = tables.get(f"fact_sales_by_{key}")
+    if stored is None:
+        return [_dated_sales(tables)]
+    return [in_period(part, "order_date") for part in stored.parts(tables["dim_customers"].sparkSession)]
+
+
 # Dimensions and date ranges
 
 
@@ -338,6 +349,16 @@ def _segment(sales: str) -> Column:
     )
 
 
+def sales_by_periods(tables: Tables) -> DataFrame:
+    """Sales, quantity and distinct customers by month, quarter and year, all from one stored monthly table."""
+    sums = {"total_sales": "sales_amount", "total_quantity": "quantity"}
+    monthly = stage(monthly_bitmaps(_sales(tables), "order_date", "customer_key", sums), "monthly")
+    periods = [
+        roll_up(monthly, period, list(sums), "total_customers").withColumn("period", F.lit(period.lower())) for period in PERIODS
+    ]
+    return reduce(DataFrame.unionByName, periods).orderBy("period", "period_start")
+
+
 def customer_segments(tables: Tables) -> DataFrame:
     """Customers per segment; sales of unknown customers form one uncounted customer."""
     first, last = F.min("order_date"), F.max("order_date")
@@ -375,7 +396,7 @@ def report_customers_fixed(tables: Tables, as_of: dt.date, view: str | None = No
     """Customers with age group, segment, activity and spending."""
     first, last = F.min("order_date"), F.max("order_date")
     activity = rollup_by_entity(
-        _dated_sales(tables),
+        _dated_parts(tables, "customer_key"),
         "customer_key",
         tables["dim_customers"],
         ["customer_key", "customer_number", "first_name", "last_name", "birthdate"],
@@ -428,7 +449,7 @@ def report_products(tables: Tables, as_of: dt.date, view: str | None = None) ->
     price = ratio(F.col("sales_amount"), F.col("quantity")).cast(ROUNDING_TYPE)
     details = ["product_key", "product_name", "category", "subcategory", "cost"]
     activity = rollup_by_entity(
-        _dated_sales(tables),
+        _dated_parts(tables, "product_key"),
         "product_key",
         tables["dim_products"],
         details,

@@ -7,8 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.key_buckets import store_by_key
 from ..operators.months import month_column, with_month
 from ..operators.staging import new_path
+from ..plans import cleaning
 from . import csv_tables, given_tables as given, published, schemas
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +115,22 @@ def stored_by_month(job: Callable[..., DataFrame], date: str, shown: Callable[[D
         return shown(job(tables, **parameters))
 
     return run
+
+
+def patients_cleaned_in_place(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of a stored table after its updates and deletes."""
+    table = cleaning.store_records(given.GivenTables(spark, folder, given.CLEANING), new_path(spark, "patients"))
+    return cleaning.clean_stored(spark, table)
+
+
+def report_by_key(job: Callable[..., DataFrame], key: str, columns: list[str], shown: Callable[[DataFrame], DataFrame], **parameters) -> Query:
+    """A report over facts that were stored in buckets of its key."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        tables, path = given.GivenTables(spark, folder, given.WAREHOUSE), new_path(spark, f"by-{key}")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        name = "facts_" + path.rsplit("-", 1)[1]
+        tables[f"fact_sales_by_{key}"] = store_by_key(tables["fact_sales"], key, name, path, buckets, columns)
+        return shown(job(tables, **parameters))
+
+    return run
