@@ -82,14 +82,20 @@ def top_pairs(
     popular items are doubled until they make n pairs.
     """
     items = stage(with_sizes(stage(distinct_items(lines, basket, item), "distinct"), "size"), "items")
-    popularity = stage(items.groupBy("item").agg(F.count("*").alias("baskets")), "popularity")
-    known = stage(popularity.join(known_items.select(F.col(item).alias("item")), "item", "left_semi"), "known-items")
+    marked = known_items.select(F.col(item).alias("item")).distinct().withColumn("known", F.lit(True))
+    counted = items.groupBy("item").agg(F.count("*").alias("baskets")).join(marked, "item", "left")
+    popularity = stage(counted, "popularity")
+    known, popularity = popularity.filter("known").drop("known"), popularity.drop("known")
 
     least, all_items = 1, known.count()
     while True:
         seeds = known.orderBy(F.desc("baskets"), "item").limit(seed_items).select("item")
-        seeded = stage(items.join(seeds, "item", "left_semi").select("basket", "item"), "seeded")
-        best = pair_counts(seeded, large_basket).orderBy(F.desc("baskets")).limit(top_n)
+        seeded = items.join(seeds, "item", "left_semi").select("basket", "item")
+        if seed_items <= large_basket:  # then no basket can hold more of them
+            seed_pairs = _count(_pairs(seeded, seeded, ["basket"]))
+        else:
+            seed_pairs = pair_counts(stage(seeded, "seeded"), large_basket)
+        best = seed_pairs.orderBy(F.desc("baskets")).limit(top_n)
         found, worst = best.agg(F.count("*"), F.min("baskets")).first()
         if found == top_n:
             least = worst
