@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.staging import stage
 from .components import connected_components
-from .words import WHITE_SPACE, bound_batches, mix, numbers, shingles, words_of
+from .words import WHITE_SPACE, bound_batches, mix, numbers, shingles, unused_name, words_of
 
 _U64 = np.uint64
 #: Ids up to this many are broadcast as a filter; more are joined by shuffle.
@@ -288,7 +288,8 @@ def near_copies(docs: DataFrame, rule: NearCopyRule = NearCopyRule()) -> DataFra
 
 def drop_near_copies(docs: DataFrame, rule: NearCopyRule = NearCopyRule()) -> DataFrame:
     """`docs` without the rows that `near_copies` doesn't keep; of rows with one doc_id all stay or go."""
-    dropped = near_copies(docs, rule).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    name = unused_name(docs.columns, "dropped")
+    dropped = near_copies(docs, rule).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
     gone = stage(dropped, "dropped")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(name), "left_anti")

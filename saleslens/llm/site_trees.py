@@ -6,7 +6,9 @@ entropies: how much its inner layout differs from page to page, and how much
 its text does. Branches whose nodes are all of low importance are the site's,
 not the page's, and are removed. Elements whose markup says what they are (menus, adverts, the
 article) carry that as their importance: menus may differ on every page, and
-copied articles don't.
+copied articles don't. Within an article that is marked, the style tree decides:
+what is the same on the pages of a host goes, and words that may name a part of
+an article as well as a part of the site only raise the importance it needs.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.staging import stage
 from .url_filter import host_of
-from .words import bound_batches
+from .words import bound_batches, unused_name
 
 # Elements, roles and class or id words that say what a branch is.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +51,8 @@ NOISE_WORDS = frozenset(
     "pagination pager popup promo promotion related replies reply respond share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: Of these, words that may as well name a section of an article, where importance decides.
+OPEN_WORDS = frozenset("banner header login masthead modal pager popup related replies reply respond share sharing signup social toolbar widget".split())
 #: Even an article with one of these words is not the page's own.
 OTHER_ARTICLES = frozenset("ad ads advert advertisement comment comments promo related reply sponsored".split())
 #: Class names that begin so tell what a branch has, not what it is.
@@ -72,15 +76,20 @@ class TreeRule:
 
     pages: int = 5
     importance: float = 0.2
+    open_importance: float = 0.6  # of a branch in an article whose name may mean part of the site
 
 
 @dataclass
 class Block:
     path: str
-    role: str  # main, noise or empty
+    role: str  # main, open (in an article, under a word that may mean part of the site), noise or empty
     text: str
     linked: bool  # all of it is the text of links
 
+    @property
+    def is_sentence(self) -> bool:
+        return len(self.text.split()) >= 4 and self.text.rstrip("\"')”’»").endswith((".", "!", "?", "…", "。"))
+
 
 @dataclass
 class _Open:
@@ -187,23 +196,34 @@ class PageTree(HTMLParser):
         named = _named(given)
         if tag in MAIN_ELEMENTS or role in MAIN_ROLES:
             return "noise" if named & OTHER_ARTICLES else "main"
+        if above in ("main", "open") and not named & (NOISE_WORDS - OPEN_WORDS):
+            return "open" if named & OPEN_WORDS else above
         return "noise" if named & NOISE_WORDS else above
 
 
-def main_text(tree: PageTree, unimportant: set[str]) -> str:
-    """The blocks of the article; where none is marked, those outside of marked noise and unimportant nodes
+def main_text(tree: PageTree, importance: Mapping[str, float], rule: TreeRule = TreeRule()) -> str:
+    """The important blocks of the article; where none is marked, those outside of marked noise and unimportant nodes
     that are more than links.
 
-    A branch has nothing left if all its nodes are unimportant, and keeps what is important in it.
+    A branch has nothing left if all its nodes are unimportant, and keeps what is
+    important in it. Nodes without an entry are either important or on too few
+    pages to tell; they count as important, but for branches under a word that
+    may mean part of the site, which have to be sentences then. Where most of a marked article is unimportant, the
+    article itself is on many pages of its host; then all of it stays.
     """
-    chosen = [block for block in tree.blocks if block.role == "main"]
-    if not chosen:
-        chosen = [b for b in tree.blocks if not b.role and not b.linked and b.path not in unimportant]
-    return "\n".join(block.text for block in chosen)
+    marked = [b for b in tree.blocks if b.role == "main" or b.role == "open" and not b.linked]
+    if not marked:
+        chosen = [b for b in tree.blocks if not b.role and not b.linked and importance.get(b.path, 1.0) >= rule.importance]
+        return "\n".join(b.text for b in chosen)
+    least = {"main": rule.importance, "open": rule.open_importance}
+    chosen = [b for b in marked if importance.get(b.path, 1.0 if b.role == "main" or b.is_sentence else 0.0) >= least[b.role]]
+    if 2 * sum(len(b.text) for b in chosen) < sum(len(b.text) for b in marked):
+        chosen = [b for b in marked if b.role == "main"]
+    return "\n".join(b.text for b in chosen)
 
 
 def style_nodes(pages: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
-    """`host`, `path`, `pages` and `importance` of each node on `rule.pages` pages of one host at least.
+    """`host`, `path`, `pages`, `importance`, `holds_text` and `is_open` of each node on `rule.pages` pages of one host at least.
 
     Importance is 1 where every page differs and 0 where all agree. Counts are
     summed before they are shuffled, so a host with a third of all pages costs
@@ -216,34 +236,37 @@ def style_nodes(pages: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tree = PageTree.of(html)
                 texts: dict[str, int] = {}
+                opened = {block.path for block in tree.blocks if block.role == "open"}
                 for block in tree.blocks:
                     if block.role != "noise":
                         texts[block.path] = zlib.crc32(block.text.encode(), texts.get(block.path, 0))
                 for path, layout in tree.layouts.items():
-                    counted[host, path, zlib.crc32(layout.encode()), False] += 1
+                    counted[host, path, zlib.crc32(layout.encode()), False, path in opened] += 1
                 for path, text in texts.items():
-                    counted[host, path, text, True] += 1
-            rows = list(zip(*((*key, n) for key, n in counted.items()))) or [()] * 5
-            types = (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64())
+                    counted[host, path, text, True, path in opened] += 1
+            rows = list(zip(*((*key, n) for key, n in counted.items()))) or [()] * 6
+            types = (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values, kind) for values, kind in zip(rows, types)],
-                names=["host", "path", "feature", "is_text", "n"],
+                names=["host", "path", "feature", "is_text", "is_open", "n"],
             )
 
-    schema = "host string, path string, feature long, is_text boolean, n long"
+    schema = "host string, path string, feature long, is_text boolean, is_open boolean, n long"
     counts = (
         pages.select(host_of(F.col("url")).alias("host"), "html")
         .mapInArrow(features, schema)
         .groupBy("host", "path", "feature", "is_text")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.bool_or("is_open").alias("is_open"))
     )
     entropies = (
         counts.groupBy("host", "path", "is_text")
-        .agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+        .agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.bool_or("is_open").alias("is_open"))
         .filter(F.col("m") >= max(rule.pages, 2))
         .withColumn("entropy", F.lit(1.0) - F.col("s") / (F.col("m") * F.log("m")))
     )
-    return entropies.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max("entropy").alias("importance"))
+    return entropies.groupBy("host", "path").agg(
+        F.max("m").alias("pages"), F.max("entropy").alias("importance"), F.bool_or("is_text").alias("holds_text"), F.bool_or("is_open").alias("is_open")
+    )
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
@@ -265,20 +288,23 @@ def extract_text(pages: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
     Repeated rows agree, and copies of a page count once in the entropies of its host. Columns of the two names are replaced, others stay.
     """
     bound_batches(pages.sparkSession)
-    low = style_nodes(distinct_pages(pages), rule).filter(F.col("importance") < rule.importance)
-    low = stage(low.groupBy("host").agg(F.collect_set("path").alias("_low")), "unimportant")
-    named = low.withColumnRenamed("host", "_host")
+    nodes = style_nodes(distinct_pages(pages), rule).filter("holds_text")
+    # Important nodes of open branches have to be known, too, as only sentences count where nothing is known.
+    low = nodes.filter((F.col("importance") < max(rule.importance, rule.open_importance)) | F.col("is_open"))
+    low_name, host_name = (unused_name(pages.columns, name) for name in ("low", "host"))
+    entries = F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias(low_name)
+    named = stage(low.groupBy("host").agg(entries).withColumnRenamed("host", host_name), "unimportant")
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    few = low.count() <= BROADCAST_HOSTS
+    few = named.count() <= BROADCAST_HOSTS
     sent = pages.select(*(f"`{c}`" for c in kept)).join(
-        F.broadcast(named) if few else named, host_of(F.col("url")) == F.col("_host"), "left"
+        F.broadcast(named) if few else named, host_of(F.col("url")) == F.col(host_name), "left"
     )
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name in kept)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html, low = batch.column("html").to_pylist(), batch.column("_low").to_pylist()
-            texts = [main_text(PageTree.of(page), set(paths or ())) for page, paths in zip(html, low)]
+            html, low = batch.column("html").to_pylist(), batch.column(low_name).to_pylist()
+            texts = [main_text(PageTree.of(page), dict(paths or ()), rule) for page, paths in zip(html, low)]
             columns = [batch.column(c) for c in kept]
             columns += [pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "text", "n_chars"])

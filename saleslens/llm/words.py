@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,7 @@ CHUNK_BYTES = 250_000
 BATCH_BYTES = 8 << 20
 
 _U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 2**64)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -34,6 +33,14 @@ def byte_count(size: str) -> int:
     return int(number) << 10 * ("", "k", "m", "g", "t", "p").index(unit)
 
 
+def unused_name(columns: Iterable[str], name: str) -> str:
+    """`name`, made longer until no column has it, whatever the case."""
+    taken, name = {c.lower() for c in columns}, f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finaliser of splitmix64)."""
     values = values ^ (values >> _U64(30))
@@ -63,20 +70,21 @@ def separator_table(white_only: bool) -> np.ndarray:
 WHITE_SPACE = separator_table(True)
 MARKS = separator_table(False)
 
-_LETTERS = numbers(256, 1)
-_LETTERS[ord("A") : ord("Z") + 1] = _LETTERS[ord("a") : ord("z") + 1]
-_powers = np.ones(1, _U64)
-_inverses = np.ones(1, _U64)
+#: Places of a word whose letters are looked up; letters beyond are mixed one by one.
+_PLACES = 64
+_LETTERS = numbers(_PLACES * 256, 1).reshape(_PLACES, 256)
+_LETTERS[:, ord("A") : ord("Z") + 1] = _LETTERS[:, ord("a") : ord("z") + 1]
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for `n` places at least."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        _powers, _inverses = (np.full(n + 1, step, _U64) for step in (_BASE, _INVERSE))
-        _powers[0] = _inverses[0] = 1
-        _powers, _inverses = np.cumprod(_powers, dtype=_U64), np.cumprod(_inverses, dtype=_U64)
-    return _powers, _inverses
+def _letter_hashes(letters: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A random-looking number for each letter at its place in its word; no algebra relates one place to another."""
+    found = _LETTERS[np.minimum(places, _PLACES - 1), letters]
+    far = np.flatnonzero(places >= _PLACES)
+    if len(far):
+        found[far] = mix((places[far].astype(_U64) << _U64(8) | _LOWERED[letters[far]]) * _U64(_BASE))
+    return found
 
 
 def _hashed(data: np.ndarray, starts: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +101,11 @@ def _hashed(data: np.ndarray, starts: np.ndarray, separators: np.ndarray) -> tup
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:n]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    powers, inverses = _tables(n)
-    sums = np.zeros(n + 1, _U64)
-    np.cumsum(_LETTERS[data] * powers[:n], dtype=_U64, out=sums[1:])
-    hashes = (sums[end] - sums[begin]) * inverses[begin]
-    return mix(hashes + (end - begin).astype(_U64)), begin
+    lengths = end - begin
+    sums = np.zeros(int(lengths.sum()) + 1, _U64)
+    np.cumsum(_letter_hashes(data[inside], _places(lengths)), dtype=_U64, out=sums[1:])
+    ends = np.cumsum(lengths)
+    return mix(sums[ends] - sums[ends - lengths] + lengths.astype(_U64)), begin
 
 
 def _long(data: np.ndarray, separators: np.ndarray) -> np.ndarray:
