@@ -251,15 +251,24 @@ def find_personal_data(docs: DataFrame, rule: DisclosureRule = DisclosureRule(),
     A null text has no spans and stays null; an empty one stays empty. Repeated
     rows agree. A value that a third of the documents hold, in copies or not,
     costs one row for each distinct context. Columns of the two names are
-    replaced, others stay.
+    replaced, others stay; they travel packed, so none of their names can clash.
     """
     kept = [c for c in docs.columns if c not in ("spans", "sanitised")]
+    packed = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept) if c != text))
+    found = _find(docs.select(F.col(f"`{text}`").alias("text"), packed.alias("others")), rule)
+    columns = {c: F.col(f"others.c{i}") for i, c in enumerate(kept)} | {text: F.col("text")}
+    return found.select(*(columns[c].alias(c) for c in kept), "spans", "sanitised")
+
+
+def _find(docs: DataFrame, rule: DisclosureRule) -> DataFrame:
+    """`find_personal_data` of documents whose only columns are `text` and `others`."""
+    text, kept = "text", ["text", "others"]
     names = [f"_{kind.name}" for kind in KINDS]
     based = find_base(docs.select(*(f"`{c}`" for c in kept)), text)
     any_found = F.greatest(*(F.size(c) for c in names)) > 0
     based = stage(based.withColumn("_found", any_found), "base-spans")
     spanned = based.filter("_found").withColumns(
-        {"_all": _all_spans(), "_key": F.xxhash64(F.monotonically_increasing_id(), text)}
+        {"_all": _all_spans(), "_key": F.monotonically_increasing_id()}
     )
     mask = lambda span: F.repeat(F.lit(_MASK), span["end"] - span["start"])
     masked = stage(spanned.withColumn("_masked", _replaced(F.col(text), F.col("_all"), mask)), "masked")
@@ -339,7 +348,7 @@ def sanitise(docs: DataFrame, rule: DisclosureRule = DisclosureRule(), text: str
     """
     others = [c for c in docs.columns if c != text]
     packed = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
-    found = find_personal_data(docs.select(F.col(f"`{text}`").alias("text"), packed.alias("others")), rule)
+    found = _find(docs.select(F.col(f"`{text}`").alias("text"), packed.alias("others")), rule)
     after = {c: F.col(f"others.c{i}") for i, c in enumerate(others)} | {text: F.col("sanitised")}
     if "n_chars" in others:
         length = F.length("sanitised").cast(docs.schema["n_chars"].dataType)

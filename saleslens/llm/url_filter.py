@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.staging import stage
 from .components import connected_components
+from .words import unused_name
 
 #: More rules than this do not belong in one expression.
 MOST_RULES = 1000
@@ -166,16 +167,17 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     if redirects is not None:
         links = links.unionByName(redirects.select("source", "target"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
+    own, resource, alias, alias_verdict = (unused_name(pages.columns, n) for n in ("own", "resource", "alias", "alias_verdict"))
     judged = pages.withColumns(
         {
             "host": host,
             "path": path,
             "rule": matching_rule(host, path, rules, "name"),
-            "_own": matching_rule(host, path, rules, "verdict"),
-            "_resource": resource_of(F.col("url")),
+            own: matching_rule(host, path, rules, "verdict"),
+            resource: resource_of(F.col("url")),
         }
     )
-    aliases = alias_verdicts(links, rules).toDF("_alias", "_alias_verdict")
-    joined = judged.join(aliases, F.col("_resource") == F.col("_alias"), "left")
-    verdict = F.coalesce("_own", "_alias_verdict", F.lit("allow"))
-    return joined.withColumn("verdict", verdict).drop("_own", "_resource", "_alias", "_alias_verdict")
+    aliases = alias_verdicts(links, rules).toDF(alias, alias_verdict)
+    joined = judged.join(aliases, F.col(resource) == F.col(alias), "left")
+    verdict = F.coalesce(own, alias_verdict, F.lit("allow"))
+    return joined.withColumn("verdict", verdict).drop(own, resource, alias, alias_verdict)
