@@ -191,19 +191,45 @@ _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 def _licence_sql() -> str:
     """Every sentence of every text against every pattern, then the rules as replacements in their order."""
-    known = " ".join(f"when regexp_matches(s, '{pattern}') then '{name}'" for name, pattern in licenses.SENTENCES)
+    patterns = dict(licenses.SENTENCES)
+    first = " ".join(f"when regexp_matches(s, '{pattern}') then '{name}'" for name, pattern in licenses.SENTENCES)
+    ends = ", ".join(
+        f"case when regexp_matches(s, '{patterns[n]}') then {{'at': strpos(s, regexp_extract(s, '{patterns[n]}')) + "
+        f"length(regexp_extract(s, '{patterns[n]}')), 'id': '{n}'}} end"
+        for n in licenses.STATED
+    )
+    stated = ", ".join(f"'{name}'" for name in licenses.STATED)
+    names = ", ".join(f"('{name.lower()}', '{name}')" for name in licenses.SPDX_NAMES)
+    families = ", ".join(f"('{family}')" for family in licenses.SPDX_FAMILIES)
     marked = "'<' || array_to_string(ids, '><') || '>'"
     for name, sequence in licenses.RULES:
         marked = f"replace({marked}, '<{sequence.replace(' ', '><')}>', '[{name}]')"
     return f"""
-        with sentences as (
-            select doc_id, list_filter(list_transform(list_transform(
-                regexp_split_to_array(coalesce(text, ''), '[.;!?]+\\s+|\\s*\\n\\s*'),
-                lambda part: trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
-                lambda s: case {known} end), lambda i: i is not null) as ids
-            from documents
+        with spdx as (
+            select map_from_entries(list({{'k': k, 'v': v}})) as known from (
+                select * from (values {names}) n(k, v)
+                union all select lower(f || e), f || e from (values {families}) a(f), (values (''), ('-only'), ('-or-later')) b(e))
+        ), parts as (
+            select row, doc_id, part, place, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) as s from (
+                select row, doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[.;!?]+\\s+|\\s*\\n\\s*')) as part,
+                    generate_subscripts(regexp_split_to_array(coalesce(text, ''), '[.;!?]+\\s+|\\s*\\n\\s*'), 1) as place
+                from (select *, row_number() over () as row from documents))
+        ), said as (
+            select row, doc_id, place, case
+                when regexp_matches(part, '{licenses.SPDX_TAG}') then list_transform(
+                    list_filter(regexp_extract_all(regexp_extract(part, '{licenses.SPDX_EXPRESSION}', 1),
+                        '[A-Za-z0-9][A-Za-z0-9.+-]*(?:\\s+WITH\\s+[A-Za-z0-9][A-Za-z0-9.+-]*)?'), lambda t: t not in ('AND', 'OR')),
+                    lambda t: coalesce('spdx:' || coalesce(known[lower(regexp_replace(split_part(t, ' ', 1), '\\+$', '-or-later'))],
+                        case when starts_with(t, 'LicenseRef-') then split_part(t, ' ', 1) end)
+                        || case when contains(t, ' ') then regexp_replace(regexp_extract(t, '\\s.*$'), '\\s+', ' ', 'g') else '' end, 'spdx-unknown'))
+                when (case {first} end) in ({stated}) then list_transform(
+                    list_sort(list_filter([{ends}], lambda f: f is not null)), lambda f: f.id)
+                when (case {first} end) is not null then [case {first} end] else [] end as ids
+            from parts, spdx
+        ), sentences as (
+            select any_value(doc_id) as doc_id, flatten(list(ids order by place)) as ids from said group by row
         ), marked as (
-            select doc_id, ids, case when len(ids) > 0 then {marked} else '' end as m from sentences
+            select doc_id, ids, case when len(ids) > 0 then regexp_replace({marked}, '<spdx:([^>]*)>', '[\\1]', 'g') else '' end as m from sentences
         )
         select doc_id, array_to_string(ids, ',') as sentence_ids,
             array_to_string(list_sort(list_distinct(regexp_extract_all(m, '\\[([^\\]]*)\\]', 1))), ',') as licences,

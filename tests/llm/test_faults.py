@@ -1,9 +1,12 @@
 """Cases that once gave wrong results: colliding words, clashing columns, parts of articles."""
 
+import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from saleslens.llm import near_copies, personal_data, site_trees, url_filter, words
+from compare import differences
+from saleslens.llm import licenses, near_copies, personal_data, queries, site_trees, url_filter, words
 
 
 def test_words_that_collide_under_polynomials(frame):
@@ -85,3 +88,35 @@ def test_importance_decides_on_open_words(frame, open_importance, kept):
     rule = site_trees.TreeRule(open_importance=open_importance)
     found = site_trees.extract_text(frame(rows, "page_id long, url string, html string"), rule).collect()
     assert all(("Up by" in r.text) == kept for r in found)
+
+
+# licences
+
+LICENCES = {
+    "SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0-or-later"],
+    "// SPDX-License-Identifier: GPL-3.0-only": ["GPL-3.0-only"],
+    "SPDX-License-Identifier: GPL-2.0": ["GPL-2.0"],
+    "SPDX-License-Identifier: MIT OR Apache-2.0": ["Apache-2.0", "MIT"],
+    "# SPDX-License-Identifier: (MIT AND BSD-3-Clause)\ncode": ["BSD-3-Clause", "MIT"],
+    "/* SPDX-License-Identifier: ((LGPL-2.1+ WITH Classpath-exception-2.0) OR mit) */": ["LGPL-2.1-or-later WITH Classpath-exception-2.0", "MIT"],
+    "SPDX-License-Identifier: LicenseRef-own OR Foo-9": ["LicenseRef-own"],
+    "SPDX-License-Identifier: Apache-2.0. And more": ["Apache-2.0"],
+    "SPDX-License-Identifier: mit and more words": ["MIT"],
+    "SPDX-License-Identifier:": [],
+    "licensed under the MIT License and the docs are licensed under CC BY 4.0": ["CC-BY-4.0", "MIT"],
+    "Dual licensed under the MIT license or the Apache License, Version 2.0.": ["Apache-2.0", "MIT"],
+    "code released into the public domain, data released under CC0 1.0": ["CC0-1.0", "LicenseRef-Public-Domain"],
+    "you may do what you like": [],
+}
+
+
+def test_licences_of_expressions_and_mixed_sentences(spark, frame, tmp_path):
+    rows = [*enumerate(LICENCES), (100, None), (101, ""), (102, "x\n" * 20_000 + "SPDX-License-Identifier: ISC")]
+    frame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = frame(rows, "doc_id long, text string").withColumn("_marked", F.lit("kept"))
+    found = {r.doc_id: r for r in licenses.recognise(docs).collect()}
+    assert {t: found[i].licences for i, t in enumerate(LICENCES)} == LICENCES
+    assert found[100].licences == found[101].licences == [] and found[102].licences == ["ISC"] and found[0]["_marked"] == "kept"
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert differences(queries.licences(spark, str(tmp_path)), connection, queries.SQL["op4_licence_sentences"]) is None
