@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.staging import stage
 from .words import MARKS, bound_batches, grams, words_of
 
 #: Steps from a gram's first word to its words: single words, pairs, triples, and pairs that skip one or two words.
@@ -17,13 +18,15 @@ GRAMS = ((0,), (0, 1), (0, 1, 2), (0, 2), (0, 3))
 
 @dataclass(frozen=True)
 class FtrlRule:
-    """`training_rows` bounds the sample of labelled documents that one task learns from.
+    """`training_rows` and `training_grams` bound the sample of labelled documents that one task learns from: documents
+    are taken in order of a hash of their ids, as many as stay below both.
 
     `alpha` and `beta` set the per-coordinate rates, `l1` and `l2` the
     penalties. Weights, at most `slots`, are broadcast; L1 leaves few of them.
     """
 
     training_rows: int = 20_000
+    training_grams: int = 40_000_000
     slots: int = 1 << 20
     epochs: int = 3
     alpha: float = 2.0
@@ -77,12 +80,13 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> tuple[np.ndarray, float] | None:
-    """Weights and bias from the labelled documents outside the held-out fold; None without any.
+def training_examples(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> DataFrame:
+    """`doc`, `toxic` and `slots` of the labelled documents outside the held-out fold that are learnt from.
 
     Of repeated labels of a document the larger counts; null ids and labels
-    are left out. If there are more than `rule.training_rows`, those with the
-    smallest hash of their id are taken.
+    are left out. Of documents that share an id, the text with the smallest hash
+    is taken. If there are more than `rule` allows, those with the smallest hash
+    of their id are taken. The bounds hold for what reaches the one learning task.
     """
     bound_batches(docs.sparkSession)
     known = (
@@ -93,7 +97,12 @@ def train(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> tu
     )
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rule.training_rows)
     named = sample.select(F.col("doc_id").alias("_doc"), F.col("toxic").cast("int").alias("_toxic"))
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(named), F.col("doc_id") == F.col("_doc"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    chosen = (
+        texts.join(F.broadcast(named), F.col("doc_id") == F.col("_doc"))
+        .groupBy("doc_id", "_toxic")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    )
 
     def to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,6 +112,20 @@ def train(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> tu
             columns = [batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "toxic", "slots"])
 
+    examples = chosen.select("doc_id", "text", "_toxic").mapInArrow(to_slots, "doc long, toxic int, slots array<int>")
+    examples = stage(examples.withColumns({"place": F.xxhash64("doc"), "grams": F.size("slots")}), "examples")
+    # One number for each document of the sample, of which there are `training_rows` at most.
+    sizes = examples.select("place", "doc", "grams").orderBy("place", "doc").collect()
+    within = np.cumsum([r["grams"] for r in sizes]) <= rule.training_grams
+    if not within.all():
+        last = sizes[max(int(within.sum()) - 1, 0)]
+        examples = examples.filter((F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("doc") <= last["doc"])))
+    return examples.select("doc", "toxic", "slots")
+
+
+def train(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> tuple[np.ndarray, float] | None:
+    """Weights and bias from the examples, in one task; None without any."""
+
     def learn(group: pa.Table) -> pa.Table:
         lists = [part for part in group.column("slots").chunks if len(part)]
         examples = [part.values.to_numpy()[a:b] for part in lists for a, b in zip(part.offsets.to_numpy()[:-1], part.offsets.to_numpy()[1:])]
@@ -111,8 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> tu
         kept = np.flatnonzero(weights)
         return pa.table({"slot": np.append(kept, -1), "weight": np.append(weights[kept], bias)})
 
-    examples = chosen.select("doc_id", "text", "_toxic").mapInArrow(to_slots, "doc long, toxic int, slots array<int>")
-    model = examples.groupBy().applyInArrow(learn, "slot long, weight double").collect()
+    model = training_examples(docs, labels, rule).groupBy().applyInArrow(learn, "slot long, weight double").collect()
     if not model:
         return None
     weights = np.zeros(rule.slots + 1)  # the bias has slot -1, the last one

@@ -205,6 +205,11 @@ def test_sample_of_labelled_rows_is_bounded(frame):
     docs = frame([(i, "word") for i in range(50)], "doc_id long, text string")
     labels = frame([(i, i % 2) for i in range(50)] + [(1, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.train(docs, labels, toxicity.FtrlRule(training_rows=7))[1] != 0
+    repeated = docs.unionByName(docs).unionByName(frame([(i, f"other {i} words") for i in range(50)] * 30, "doc_id long, text string"))
+    examples = toxicity.training_examples(repeated, labels, toxicity.FtrlRule(training_rows=7)).collect()
+    assert len(examples) == len({r.doc for r in examples}) == 7
+    few = toxicity.training_examples(repeated, labels, toxicity.FtrlRule(training_grams=60)).collect()
+    assert 0 < sum(len(r.slots) for r in few) <= 60 and len({r.doc for r in few}) == len(few)
 
 
 def test_toxicity_of_edge_rows(frame, edges, nothing):
