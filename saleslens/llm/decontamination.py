@@ -24,7 +24,8 @@ class LeakRule:
     shares one with an item is aligned around it, however common its words are.
     A word that agrees scores 1, one that differs or is missing costs 1. A leak
     scores `share` of the item's words or `passage` words, whichever is less.
-    Items with fewer words than a seed say nothing and are left out.
+    An item with fewer words than a seed is held by documents that say just that;
+    an item without words by none.
     """
 
     seed_words: int = 3
@@ -45,10 +46,14 @@ class Items:
         for first, counts, hashes in words_of(pa.array(texts, pa.string()), MARKS):
             ends = np.cumsum(counts)
             for i, (end, n) in enumerate(zip(ends.tolist(), counts.tolist())):
-                if n >= rule.seed_words:
+                if n:
                     self.ids.append(ids[first + i])
                     self.words.append(hashes[end - n : end])
+        self.short: dict[bytes, list[int]] = {}
         for item, words in enumerate(self.words):
+            if len(words) < rule.seed_words:
+                self.short.setdefault(words.tobytes(), []).append(item)
+                continue
             found, at = grams(np.array([len(words)]), words, steps)
             places.append((found, np.full(len(found), item), at))
         joined = [np.concatenate(c) for c in zip(*places)] if places else [np.empty(0, np.uint64), *[np.empty(0, int)] * 2]
@@ -79,6 +84,10 @@ class Items:
             cuts = np.searchsorted(text, np.arange(len(counts) + 1))
             for i in range(len(counts)):
                 begin, end = ends[i] - counts[i], ends[i]
+                if counts[i] < self.rule.seed_words:
+                    n = int(counts[i])
+                    yield [(item, n, n - 1) for item in self.short.get(hashes[begin:end].tobytes(), ())]
+                    continue
                 own = slice(cuts[i], cuts[i + 1])
                 yield self._aligned(hashes[begin:end], found[own], at[own] - begin) if cuts[i] < cuts[i + 1] else []
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import differences
-from saleslens.llm import licenses, near_copies, personal_data, queries, site_trees, url_filter, words
+from saleslens.llm import decontamination, licenses, near_copies, personal_data, queries, site_trees, url_filter, words
 
 
 def test_words_that_collide_under_polynomials(frame):
@@ -120,3 +120,14 @@ def test_licences_of_expressions_and_mixed_sentences(spark, frame, tmp_path):
     connection = duckdb.connect()
     connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert differences(queries.licences(spark, str(tmp_path)), connection, queries.SQL["op4_licence_sentences"]) is None
+
+
+# benchmark leaks
+
+
+def test_items_of_one_and_two_words(frame):
+    items = frame([(1, "what is"), (2, "Yes!"), (3, "  "), (4, "what is"), (5, "one two three")], "item_id long, text string")
+    docs = frame([(1, "What is?"), (2, "yes"), (3, "what is this"), (4, "no"), (5, ""), (6, None), (7, "is what")], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id, r.score, r.item_words, r.last_word) for r in decontamination.find_leaks(docs, items).collect()}
+    assert found == {(1, 1, 2, 2, 1), (1, 4, 2, 2, 1), (2, 2, 1, 1, 0)}
+    assert {r.doc_id for r in decontamination.drop_leaks(docs, items).collect()} == {3, 4, 5, 6, 7}
