@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .words import bound_batches
+from .words import bound_batches, give_back_memory
 
 # Fixed value: the pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -250,5 +250,7 @@ def _coded(docs: DataFrame, tokenizer: str, text: str, digests: bool) -> DataFra
             columns = [batch.column(c) for c in kept]
             columns += [pa.array(numbers, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_tokens", *names])
+        del coder
+        give_back_memory()
 
     return sent.mapInArrow(code, schema)

@@ -97,29 +97,26 @@ def training_examples(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlR
     )
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rule.training_rows)
     named = sample.select(F.col("doc_id").alias("_doc"), F.col("toxic").cast("int").alias("_toxic"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chosen = (
-        texts.join(F.broadcast(named), F.col("doc_id") == F.col("_doc"))
-        .groupBy("doc_id", "_toxic")
-        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    )
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("which"))
+    chosen = texts.join(F.broadcast(named), F.col("doc_id") == F.col("_doc"))
 
     def to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = [found.astype(np.int32) for found in text_slots(batch.column(1), rule.slots)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int32)
             values = np.concatenate([*slots, np.empty(0, np.int32)])
-            columns = [batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "toxic", "slots"])
-
-    examples = chosen.select("doc_id", "text", "_toxic").mapInArrow(to_slots, "doc long, toxic int, slots array<int>")
-    examples = stage(examples.withColumns({"place": F.xxhash64("doc"), "grams": F.size("slots")}), "examples")
-    # One number for each document of the sample, of which there are `training_rows` at most.
-    sizes = examples.select("place", "doc", "grams").orderBy("place", "doc").collect()
-    within = np.cumsum([r["grams"] for r in sizes]) <= rule.training_grams
-    if not within.all():
-        last = sizes[max(int(within.sum()) - 1, 0)]
-        examples = examples.filter((F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("doc") <= last["doc"])))
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "toxic", "which", "slots"])
+
+    examples = chosen.select("doc_id", "text", "_toxic", "which").mapInArrow(to_slots, "doc long, toxic int, which long, slots array<int>")
+    examples = stage(examples.withColumn("row", F.monotonically_increasing_id()), "examples")
+    # One row for each document of the sample, of which there are `training_rows` at most.
+    single = examples.groupBy("doc").agg(F.min(F.struct("which", "row", F.size("slots").alias("grams"))).alias("one"))
+    taken = sorted(single.select(F.xxhash64("doc").alias("place"), "doc", "one.row", "one.grams").collect())
+    grams_so_far = np.cumsum([r["grams"] for r in taken])
+    rows = [(r["row"],) for r, total in zip(taken, grams_so_far) if total <= rule.training_grams]
+    picked = docs.sparkSession.createDataFrame(rows, "row long")
+    examples = examples.join(F.broadcast(picked), "row", "left_semi")
     return examples.select("doc", "toxic", "slots")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +26,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, f"{BATCH_BYTES}b")
 
 
+def give_back_memory() -> None:
+    """Return what a task has freed to the system, as Python workers live on idle between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def byte_count(size: str) -> int:
     """Bytes of a size as Spark's settings spell it: `8388608`, `8m`, `64mb`."""
     spelled = size.strip().lower()
