@@ -18,6 +18,8 @@ from .near_copies import BROADCAST_IDS
 
 #: Stands for each character of a span where terms are looked for.
 _MASK = "\u0001"
+#: Numbers are summed up in chunks of 256, texts are cut into blocks of 1,024 code points.
+_CHUNK_BITS, _BLOCK_BITS = 8, 10
 _LOCAL = "[A-Za-z0-9._%+-]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
@@ -86,26 +88,61 @@ class DisclosureRule:
     remove: float = 0.95
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body's inner functions name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(numbers: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of `numbers`, which aren't negative, the `join` (sum, greatest) of all before it, from 0 on.
+
+    An array that grows is copied at every step, so it grows within a chunk only, and then over chunks.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen"))
+
+    def step(so_far: Column, number: Column) -> Column:
+        return F.struct(
+            join(so_far["at"], number).alias("at"), F.concat(so_far["seen"], F.array(so_far["at"])).alias("seen")
+        )
+
+    def chunks(all_: Column) -> Column:
+        last = F.shiftright(F.greatest(F.size(all_) - 1, F.lit(0)), _CHUNK_BITS)
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda at: F.aggregate(F.slice(all_, F.shiftleft(at, _CHUNK_BITS) + 1, F.lit(1 << _CHUNK_BITS)), start, step),
+        )
+
+    def joined(parts: Column) -> Column:
+        ahead = F.aggregate(F.transform(parts, lambda part: part["at"]), start, step)["seen"]
+        return F.flatten(F.zip_with(parts, ahead, lambda part, at: F.transform(part["seen"], lambda seen: join(at, seen))))
+
+    return _let(numbers, lambda all_: _let(chunks(all_), joined))
+
+
+def _blocks(text: Column) -> Column:
+    """The text in blocks of equal length, so that a place in it is found without counting from its begin."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << _BLOCK_BITS}}}+"), F.lit(0))
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from code point `start` to `end` (exclusive; beyond the text: to its end), empty if `end` isn't greater."""
+    first, last = F.shiftright(start, _BLOCK_BITS), F.shiftright(end - 1, _BLOCK_BITS)
+    near = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(end > start, F.substring(near, start - F.shiftleft(first, _BLOCK_BITS) + 1, end - start)).otherwise("")
+
+
 def _spans(text: Column, pattern: Column | str, value: Callable[[Column, Column], Column]) -> Column:
-    """`start`, `end` (code points, end exclusive) and `value` of each match, by the lengths of what lies between."""
+    """`value(match, start)` of each match, its start by the lengths of what lies between matches."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    none = F.array().cast("array<int>")
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    widths = F.zip_with(
-        F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap)),
-        matches,
-        lambda gap, match: F.struct(gap.alias("gap"), F.coalesce(F.length(match), F.lit(0)).alias("width")),
-    )
-    starts = F.aggregate(
-        widths,
-        F.struct(F.lit(0).alias("at"), none.alias("starts")),
-        lambda seen, next_: F.struct(
-            (seen["at"] + next_["gap"] + next_["width"]).alias("at"),
-            F.concat(seen["starts"], F.array(seen["at"] + next_["gap"])).alias("starts"),
-        ),
-        lambda seen: F.slice(seen["starts"], F.lit(1), F.size(matches)),
-    )
-    return F.zip_with(matches, starts, value)
+    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
+
+    def placed(found: Column) -> Column:
+        widths = F.zip_with(found["matches"], found["gaps"], lambda match, gap: F.coalesce(F.length(match), F.lit(0)) + gap)
+        starts = F.zip_with(_before(widths, lambda a, b: a + b), found["gaps"], lambda before, gap: before + gap)
+        return F.zip_with(found["matches"], F.slice(starts, F.lit(1), F.size(found["matches"])), value)
+
+    return _let(F.struct(matches.alias("matches"), gaps.alias("gaps")), placed)
 
 
 def _kind_spans(kind: Kind, text: Column) -> Column:
@@ -122,24 +159,20 @@ def _kind_spans(kind: Kind, text: Column) -> Column:
 
 def _replaced(text: Column, spans: Column, instead: Callable[[Column], Column]) -> Column:
     """The text with `instead(span)` for each stretch of spans, which are in order of `start` and may overlap."""
-    none = F.array().cast("array<string>")
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), none.alias("parts")),
-        lambda seen, span: F.when(span["end"] <= seen["at"], seen).otherwise(
-            F.struct(
-                span["end"].alias("at"),
-                F.concat(
-                    seen["parts"],
-                    F.array(
-                        F.substring(text, seen["at"] + 1, F.greatest(span["start"] - seen["at"], F.lit(0))),
-                        instead(F.struct(F.greatest(span["start"], seen["at"]).alias("start"), *(span[c].alias(c) for c in ("end", "kind", "value")))),
-                    ),
-                ).alias("parts"),
-            )
-        ),
-    )
-    return F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))
+    ends = _before(F.transform(spans, lambda span: span["end"]), F.greatest)
+
+    def put(of: Column) -> Column:
+        def part(span: Column, at: Column) -> Column:
+            own = F.struct(F.greatest(span["start"], at).alias("start"), *(span[c].alias(c) for c in ("end", "kind", "value")))
+            shown = F.concat(_cut(of["blocks"], at, span["start"]), instead(own))
+            return F.when(span["end"] <= at, "").otherwise(shown)
+
+        parts = F.zip_with(of["spans"], of["ends"], part)
+        last = F.coalesce(F.array_max(F.transform(of["spans"], lambda span: span["end"])), F.lit(0))
+        return F.concat(F.array_join(parts, ""), _cut(of["blocks"], last, of["length"]))
+
+    whole = F.struct(_blocks(text).alias("blocks"), spans.alias("spans"), ends.alias("ends"), F.length(text).alias("length"))
+    return _let(whole, put)
 
 
 def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -273,15 +306,21 @@ def _find(docs: DataFrame, rule: DisclosureRule) -> DataFrame:
     mask = lambda span: F.repeat(F.lit(_MASK), span["end"] - span["start"])
     masked = stage(spanned.withColumn("_masked", _replaced(F.col(text), F.col("_all"), mask)), "masked")
 
-    value = F.col("_span.value")
-    same = (
-        F.when(F.col("_span.kind") == "email", F.lower(value)).when(F.col("_span.kind") == "ip", value).otherwise(_digits(value))
-    )
-    first = F.greatest(F.col("_span.start") - rule.reach, F.lit(0))
-    around = F.substring(F.col("_masked"), first + 1, F.col("_span.end") + rule.reach - first)
-    held = masked.select("_key", "_masked", F.explode("_all").alias("_span")).select(
-        "_key", F.concat_ws(":", "_span.kind", same).alias("entity"), around.alias("context")
+    def entity(span: Column) -> Column:
+        value = span["value"]
+        same = F.when(span["kind"] == "email", F.lower(value)).when(span["kind"] == "ip", value).otherwise(_digits(value))
+        return F.concat_ws(":", span["kind"], same)
+
+    def around(blocks: Column, span: Column) -> Column:
+        return _cut(blocks, F.greatest(span["start"] - rule.reach, F.lit(0)), span["end"] + rule.reach)
+
+    contexts = _let(
+        F.struct(_blocks(F.col("_masked")).alias("blocks"), F.col("_all").alias("spans")),
+        lambda of: F.transform(
+            of["spans"], lambda span: F.struct(entity(span).alias("entity"), around(of["blocks"], span).alias("context"))
+        ),
     )
+    held = masked.select("_key", F.explode(contexts).alias("_held")).select("_key", "_held.entity", "_held.context")
     whole = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     disclosed = stage(_disclosures(held, whole, rule), "disclosures")
     few = disclosed.count() <= BROADCAST_IDS

@@ -131,3 +131,12 @@ def test_items_of_one_and_two_words(frame):
     found = {(r.doc_id, r.item_id, r.score, r.item_words, r.last_word) for r in decontamination.find_leaks(docs, items).collect()}
     assert found == {(1, 1, 2, 2, 1), (1, 4, 2, 2, 1), (2, 2, 1, 1, 0)}
     assert {r.doc_id for r in decontamination.drop_leaks(docs, items).collect()} == {3, 4, 5, 6, 7}
+
+
+def test_many_spans_in_one_text_keep_their_places(frame):
+    words = [f"user{i}@h{i % 7}.example" if i % 3 else "1.2.3.4 \U0001f600" for i in range(6_000)]
+    text = "é " + " ".join(words) + " " + "long" * 2_000
+    row = personal_data.find_personal_data(frame([(1, text)], "doc_id long, text string")).first()
+    assert len(row.spans) == 6_000 and all(text[s.start : s.end] == s.value for s in row.spans)
+    expected = "é " + " ".join("[EMAIL]" if i % 3 else "[IP] \U0001f600" for i in range(6_000)) + " " + "long" * 2_000
+    assert row.sanitised == expected
