@@ -47,18 +47,25 @@ def _beyond_limits(name: str, df: DataFrame) -> DataFrame:
 
 
 def column_checks(name: str, df: DataFrame) -> DataFrame:
-    """For each column of a stored table: its filled fields, its distinct values, the least and the greatest."""
-    sums = {
-        "filled": lambda c: F.count(c),
-        "different": lambda c: F.countDistinct(c),
-        "least": lambda c: F.min(c).cast("string"),
-        "greatest": lambda c: F.max(c).cast("string"),
-    }
-    figures = df.agg(F.count("*").alias("n"), *[make(c).alias(f"{s}_{c}") for c in df.columns for s, make in sums.items()])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), "n", *[F.col(f"{s}_{c}").alias(s) for s in sums]) for c in df.columns])
-    return figures.select(F.explode(rows).alias("r")).select(
-        F.lit(name).alias("table_name"), "r.column_name", F.col("r.n").alias("row_count"), *[f"r.{s}" for s in sums]
-    )
+    """For each column of a stored table: its filled fields, its distinct values, the least and the greatest.
+
+    Each column is read and grouped by itself, so a row is shuffled as one value
+    at a time, and equal values of a map task once; counts of all columns in one
+    aggregate would write every row anew for each of them.
+    """
+
+    def figures(column: str) -> DataFrame:
+        value = F.col("value")
+        values = df.select(F.col(f"`{column}`").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+        return values.agg(
+            F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("row_count"),
+            F.coalesce(F.sum(F.when(value.isNotNull(), F.col("n"))), F.lit(0).cast("long")).alias("filled"),
+            F.count(value).alias("different"),
+            F.min(value).cast("string").alias("least"),
+            F.max(value).cast("string").alias("greatest"),
+        ).select(F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), "*")
+
+    return reduce(DataFrame.unionByName, map(figures, df.columns))
 
 
 def _checks(stored: dict[str, DataFrame]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from saleslens.operators.limits import REASONS, Limit, with_reasons
 from saleslens.operators.months import in_period, month_column, with_month
 from saleslens.plans import finance, warehouse
-from saleslens.sources import csv_tables, published, schemas
+from saleslens.sources import csv_tables, given_loads, published, schemas
 
 from conftest import plan_of, values
 
@@ -139,6 +139,18 @@ def test_limits_and_nulls(frame):
     }
 
 
+def test_checks_group_each_column_by_itself(frame):
+    rows = [(1, "b", None), (1, "", None), (None, None, None), (-2, "b", None), (1, "b", None)]
+    found = given_loads.column_checks("t", frame(rows, "k integer, `a.b` string, d date"))
+    assert "Expand" not in plan_of(found)
+    assert values(found) == [
+        ("t", "a.b", 5, 4, 2, "", "b"),
+        ("t", "d", 5, 0, 0, None, None),
+        ("t", "k", 5, 4, 2, "-2", "1"),
+    ]
+    assert values(given_loads.column_checks("t", frame([], "k integer"))) == [("t", "k", 0, 0, 0, None, None)]
+
+
 # storage by month
 
 
