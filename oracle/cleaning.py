@@ -55,6 +55,5 @@ _BODIES = {
         FROM newest""",
 }
 
-_BODIES["patients_cleaned_in_place"] = _BODIES["patient_clean"]
-
 SQL = {key: with_shapes(body) for key, body in _BODIES.items()}
+SQL["patients_cleaned_in_place"] = SQL["patient_clean"]

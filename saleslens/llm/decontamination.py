@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import MARKS, bound_batches, grams, words_of
+from .words import MARKS, bound_batches, giving_back, grams, words_of
 
 #: Item words that are sent to every task at once; a larger benchmark is taken in several passes.
 WORDS_A_PASS = 500_000
@@ -172,7 +172,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "item_words", "last_word"])
 
-        found = found.unionByName(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(search, schema))
+        found = found.unionByName(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(search), schema))
     return found
 
 
@@ -186,5 +186,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(
                 clean = [not own for own in sent.value.leaks(batch.column("text"))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(giving_back(keep), docs.schema)
     return docs

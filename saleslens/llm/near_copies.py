@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.staging import stage
 from .components import connected_components
-from .words import WHITE_SPACE, bound_batches, mix, numbers, shingles, unused_name, words_of
+from .words import WHITE_SPACE, bound_batches, giving_back, mix, numbers, shingles, unused_name, words_of
 
 _U64 = np.uint64
 #: Ids up to this many are broadcast as a filter; more are joined by shuffle.
@@ -105,7 +105,7 @@ def _signatures(docs: DataFrame, rule: NearCopyRule) -> DataFrame:
                 )
 
     schema = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(sign), schema)
 
 
 def _shingle_sets(docs: DataFrame, rule: NearCopyRule) -> DataFrame:
@@ -122,7 +122,7 @@ def _shingle_sets(docs: DataFrame, rule: NearCopyRule) -> DataFrame:
                     [batch.column(0).slice(first, len(sets)), lists], names=["doc", "shingles"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(collect, "doc long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(collect), "doc long, shingles array<long>")
 
 
 def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.staging import stage
-from .words import MARKS, bound_batches, grams, words_of
+from .words import MARKS, bound_batches, give_back_memory, giving_back, grams, words_of
 
 #: Steps from a gram's first word to its words: single words, pairs, triples, and pairs that skip one or two words.
 GRAMS = ((0,), (0, 1), (0, 1, 2), (0, 2), (0, 3))
@@ -108,7 +108,7 @@ def training_examples(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlR
             columns = [batch.column(0), batch.column(2), batch.column(3), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "toxic", "which", "slots"])
 
-    examples = chosen.select("doc_id", "text", "_toxic", "which").mapInArrow(to_slots, "doc long, toxic int, which long, slots array<int>")
+    examples = chosen.select("doc_id", "text", "_toxic", "which").mapInArrow(giving_back(to_slots), "doc long, toxic int, which long, slots array<int>")
     examples = stage(examples.withColumn("row", F.monotonically_increasing_id()), "examples")
     # One row for each document of the sample, of which there are `training_rows` at most.
     single = examples.groupBy("doc").agg(F.min(F.struct("which", "row", F.size("slots").alias("grams"))).alias("one"))
@@ -129,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> tu
         order = np.argsort((group.column("doc").to_numpy() * 2654435761) % 2**32, kind="stable")
         weights, bias = fit([examples[i] for i in order], group.column("toxic").to_numpy()[order], rule)
         kept = np.flatnonzero(weights)
+        give_back_memory()
         return pa.table({"slot": np.append(kept, -1), "weight": np.append(weights[kept], bias)})
 
     model = training_examples(docs, labels, rule).groupBy().applyInArrow(learn, "slot long, weight double").collect()
@@ -169,7 +170,7 @@ def score(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule()) -> Da
             scores = _scores(batch.column(1), sent.value, rule.slots)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(mark, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(mark), "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -184,4 +185,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlRule())
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column("text"), sent.value, rule.slots) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(giving_back(keep), docs.schema)

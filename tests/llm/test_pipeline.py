@@ -1,12 +1,16 @@
 """The pipeline's stages on a small table: what goes, what stays, what changes."""
 
+import os
 import random
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as registered
 import corpus_pipeline
+from saleslens.llm import words
 
 from test_cleaning_operators import components, prose, vocabulary
 
@@ -86,3 +90,22 @@ def test_registered(spark):
     names = registered.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert names["pipeline"](spark, FOLDER).count() > 0
+
+
+def test_a_task_gives_back_what_it_has_freed():
+    def held():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    pinned = []
+
+    def work(batches):
+        blocks = [np.ones(8000) for _ in range(4000)]  # 256 MB in blocks that malloc keeps
+        pinned.append(np.ones(8000))  # above them, so that they can't be cut off at the end
+        del blocks
+        for batch in batches:
+            during.append(held())
+            yield batch
+
+    during, batch = [], pa.record_batch([pa.array([1])], names=["x"])
+    assert list(words.giving_back(work)(iter([batch, batch]))) == [batch, batch]
+    assert held() < during[-1] - 200_000_000 and len(pinned) == 1
