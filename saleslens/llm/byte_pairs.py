@@ -13,7 +13,8 @@ import heapq
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ _LATIN_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{
 BATCH_CHARACTERS = 2_000_000
 REMEMBERED_PIECES = 150_000
 #: Rows that are answered together.
-ROWS = 1000
+ROWS = 250
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,35 +43,59 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """What coders need of a tokenizer file, in arrays, so that no task parses the file or holds its objects.
+
+    The bytes of token i end at `ends[i]` of `joined`; `left`, `right` and `merged` are ids by rank.
+    """
+
+    joined: bytes
+    ends: np.ndarray
+    added: dict[str, int]
+    byte_ids: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    merged: np.ndarray
+
+
+def read_vocabulary(tokenizer_json: str) -> Vocabulary:
+    """The vocabulary of a tokenizer file with a byte-level BPE model."""
+    content = json.loads(tokenizer_json)
+    model, letters = content["model"], byte_letters()
+    ids = model["vocab"]
+    token_bytes = [b""] * (max([*ids.values(), *(t["id"] for t in content["added_tokens"])]) + 1)
+    for token, i in ids.items():
+        token_bytes[i] = bytes(letters[c] for c in token)
+    added = {t["content"]: t["id"] for t in content["added_tokens"]}
+    for token, i in added.items():
+        token_bytes[i] = token.encode()
+    byte_ids = np.zeros(256, np.int32)
+    for letter, byte in letters.items():
+        byte_ids[byte] = ids[letter]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    left = np.array([ids[a] for a, _ in pairs], np.int64)
+    right = np.array([ids[b] for _, b in pairs], np.int64)
+    merged = np.array([ids[a + b] for a, b in pairs], np.int64)
+    return Vocabulary(b"".join(token_bytes), np.cumsum(list(map(len, token_bytes))), added, byte_ids, left, right, merged)
+
+
 class PairIndexCoder:
-    """Encoder and decoder for a tokenizer file with a byte-level BPE model."""
+    """Encoder and decoder for a vocabulary."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, vocabulary: Vocabulary):
         import regex
 
-        content = json.loads(tokenizer_json)
-        model, letters = content["model"], byte_letters()
-        ids = model["vocab"]
-        self.token_bytes = [b""] * (max([*ids.values(), *(t["id"] for t in content["added_tokens"])]) + 1)
-        for token, i in ids.items():
-            self.token_bytes[i] = bytes(letters[c] for c in token)
-        self.added = {t["content"]: t["id"] for t in content["added_tokens"]}
-        for token, i in self.added.items():
-            self.token_bytes[i] = token.encode()
-        self.byte_ids = np.zeros(256, np.int32)
-        for letter, byte in letters.items():
-            self.byte_ids[byte] = ids[letter]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        left = np.array([ids[a] for a, _ in pairs], np.int64)
-        right = np.array([ids[b] for _, b in pairs], np.int64)
-        self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
-        self.left, self.right = left, right
-        keys = left << 32 | right
+        self.added, self.byte_ids = vocabulary.added, vocabulary.byte_ids
+        self.left, self.right, self.merged = vocabulary.left, vocabulary.right, vocabulary.merged
+        keys = self.left << 32 | self.right
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) or "(?!)")
-        self.named_bytes = {str(i): b for i, b in enumerate(self.token_bytes)}
+        ends = vocabulary.ends.tolist()
+        self.named_bytes = {str(i): vocabulary.joined[a:b] for i, (a, b) in enumerate(zip([0, *ends], ends))}
+        self.names = list(self.named_bytes)
         self.known: dict[str, str] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -148,21 +173,19 @@ class PairIndexCoder:
             start = token.end()
         return found + cut(text[start:])
 
-    def learn(self, texts_pieces: list[list[str]]) -> None:
-        """Encode every piece that is not known yet."""
-        new = set()
-        for pieces in texts_pieces:
-            new.update(pieces)
-        new.difference_update(self.known)
-        plain = list(new.difference(self.added))
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encode every one of these distinct pieces that is not known yet."""
+        new = [p for p in pieces if p not in self.known]
+        plain = [p for p in new if p not in self.added]
         ids, counts = self.merge_all([p.encode() for p in plain])
-        names = list(map(str, ids.tolist()))
+        names = list(map(self.names.__getitem__, ids.tolist()))
         end = 0
         for p, n in zip(plain, counts.tolist()):
             self.known[p] = ",".join(names[end : end + n])
             end += n
-        for p in new.intersection(self.added):
-            self.known[p] = str(self.added[p])
+        for p in new:
+            if p in self.added:
+                self.known[p] = self.names[self.added[p]]
 
     def encode(self, texts: list[str]) -> Iterator[str]:
         """Decimal ids joined by commas of each text; texts are taken in bounded batches."""
@@ -172,10 +195,14 @@ class PairIndexCoder:
             while end < len(texts) and (end == start or size + len(texts[end]) <= BATCH_CHARACTERS):
                 size += len(texts[end])
                 end += 1
-            cut = [self.pieces(text) for text in texts[start:end]]
+            met: dict[str, str] = {}  # one string for each distinct piece, not one for each place
+            cut = []
+            for text in texts[start:end]:
+                pieces = self.pieces(text)
+                cut.append(list(map(met.setdefault, pieces, pieces)))
             if len(self.known) > REMEMBERED_PIECES:
                 self.known.clear()
-            self.learn(cut)
+            self.learn(met)
             for pieces in cut:
                 yield ",".join(map(self.known.__getitem__, pieces))
             start = end
@@ -225,7 +252,7 @@ def token_digests(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFr
 def _coded(docs: DataFrame, tokenizer: str, text: str, digests: bool) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
-    content = spark.sparkContext.broadcast(_read(spark, tokenizer))
+    vocabulary = spark.sparkContext.broadcast(read_vocabulary(_read(spark, tokenizer)))
     names = ("ids_sha256", "decoded_sha256") if digests else ("token_ids", "decoded")
     kept = [c for c in docs.columns if c not in (*names, "n_tokens")]
     whole = text in kept
@@ -238,7 +265,7 @@ def _coded(docs: DataFrame, tokenizer: str, text: str, digests: bool) -> DataFra
     )
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PairIndexCoder(content.value)
+        coder = PairIndexCoder(vocabulary.value)
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
             ids, numbers, decoded = [], [], []

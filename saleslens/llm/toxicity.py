@@ -15,6 +15,9 @@ from .words import MARKS, bound_batches, give_back_memory, giving_back, grams, w
 #: Steps from a gram's first word to its words: single words, pairs, triples, and pairs that skip one or two words.
 GRAMS = ((0,), (0, 1), (0, 1, 2), (0, 2), (0, 3))
 
+#: Slots whose weights are worked out together.
+SLICE = 1 << 16
+
 
 @dataclass(frozen=True)
 class FtrlRule:
@@ -71,7 +74,10 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, rule: FtrlRule) -> tuple
             error = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             z[at] += error - (np.sqrt(n[at] + error * error) - np.sqrt(n[at])) / rule.alpha * w
             n[at] += error * error
-    everything = weights(np.arange(rule.slots + 1))
+    everything = np.empty(rule.slots + 1)
+    for start in range(0, rule.slots + 1, SLICE):  # the steps between are of a slice's size
+        at = np.arange(start, min(start + SLICE, rule.slots + 1))
+        everything[at] = weights(at)
     return everything[:-1], float(everything[-1])
 
 
@@ -114,8 +120,9 @@ def training_examples(docs: DataFrame, labels: DataFrame, rule: FtrlRule = FtrlR
     single = examples.groupBy("doc").agg(F.min(F.struct("which", "row", F.size("slots").alias("grams"))).alias("one"))
     taken = sorted(single.select(F.xxhash64("doc").alias("place"), "doc", "one.row", "one.grams").collect())
     grams_so_far = np.cumsum([r["grams"] for r in taken])
-    rows = [(r["row"],) for r, total in zip(taken, grams_so_far) if total <= rule.training_grams]
-    picked = docs.sparkSession.createDataFrame(rows, "row long")
+    rows = [r["row"] for r, total in zip(taken, grams_so_far) if total <= rule.training_grams]
+    # An Arrow table, as a list of rows would start Python workers on the executors.
+    picked = docs.sparkSession.createDataFrame(pa.table({"row": pa.array(rows, pa.int64())}))
     examples = examples.join(F.broadcast(picked), "row", "left_semi")
     return examples.select("doc", "toxic", "slots")
 

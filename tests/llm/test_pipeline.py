@@ -2,6 +2,7 @@
 
 import os
 import random
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 
 import __spark_entry__ as registered
 import corpus_pipeline
-from saleslens.llm import words
+from saleslens.llm import byte_pairs, toxicity, words
 
 from test_cleaning_operators import components, prose, vocabulary
 
@@ -109,3 +110,32 @@ def test_a_task_gives_back_what_it_has_freed():
     during, batch = [], pa.record_batch([pa.array([1])], names=["x"])
     assert list(words.giving_back(work)(iter([batch, batch]))) == [batch, batch]
     assert held() < during[-1] - 200_000_000 and len(pinned) == 1
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_encoding_holds_a_string_for_each_distinct_piece():
+    with open(byte_pairs.installed_vocabulary(), encoding="utf-8") as file:
+        coder = byte_pairs.PairIndexCoder(byte_pairs.read_vocabulary(file.read()))
+    texts = [" lorem ipsum" * 250] * 600  # 300,000 pieces in one batch
+
+    def work():
+        assert len({joined for joined in coder.encode(texts)}) == 1
+
+    assert peak_mb(work) < 10
+
+
+def test_weights_are_worked_out_in_slices(monkeypatch):
+    examples, labels = [np.array([3, 70_000]), np.array([3, 1_048_575])] * 20, np.array([1, 0] * 20)
+    found = []
+    assert peak_mb(lambda: found.append(toxicity.fit(examples, labels, toxicity.FtrlRule(l1=0.1)))) < 45
+    monkeypatch.setattr(toxicity, "SLICE", 1 << 21)  # all at once
+    whole, bias = toxicity.fit(examples, labels, toxicity.FtrlRule(l1=0.1))
+    assert (found[0][0] == whole).all() and found[0][1] == bias and (whole != 0).sum() == 3
