@@ -314,6 +314,32 @@ def test_digests_and_odd_tables(frame):
     assert byte_pairs.token_digests(docs.limit(0), byte_pairs.installed_vocabulary()).count() == 0
 
 
+def coder():
+    with open(byte_pairs.installed_vocabulary(), encoding="utf-8") as file:
+        return byte_pairs.PairIndexCoder(byte_pairs.read_vocabulary(file.read()))
+
+
+def test_new_words_are_merged_side_by_side(monkeypatch):
+    draw = random.Random(6)
+    words = ["".join(draw.choice("etaoinsé") for _ in range(draw.randint(2, 12))) for _ in range(3000)]
+    found, steps = coder(), []
+    ranks = found._ranks
+    monkeypatch.setattr(found, "_ranks", lambda *pairs: steps.append(1) or ranks(*pairs))
+    assert list(found.encode([" ".join(words)])) == [",".join(map(str, library().encode(" ".join(words), add_special_tokens=False).ids))]
+    assert len(steps) < 40  # a step for every rank that occurs, hundreds of them, before
+
+
+@pytest.mark.parametrize("short, side_by_side", [(0, 1), (3, 7), (128, 129), (1 << 20, 1 << 20)])
+def test_short_and_long_pieces_agree(monkeypatch, short, side_by_side):
+    texts = [t or "" for t in TEXTS] + ["".join(random.Random(i).choices("aab", k=i)) for i in (127, 128, 129, 400)]
+    expected = [",".join(map(str, library().encode(t, add_special_tokens=False).ids)) for t in texts]
+    monkeypatch.setattr(byte_pairs, "SHORT_PIECE", short)
+    monkeypatch.setattr(byte_pairs, "SIDE_BY_SIDE", side_by_side)
+    monkeypatch.setattr(byte_pairs, "SLICE", 5)
+    monkeypatch.setattr(byte_pairs, "REMEMBERED_PIECES", 10)
+    assert list(coder().encode(texts)) == expected and list(coder().encode(texts[::-1])) == expected[::-1]
+
+
 # top products
 
 
